@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, secrets
+from . import decontaminate, packing, pii, secrets, token_counts
 from .common import table
 
+TOKENIZERS = "/opt/tokenizers"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -18,6 +20,11 @@ def query(f: Callable) -> Callable:
     return f
 
 
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), model)
+
+
 @query
 def op3_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.sanitise_spans(table(spark, sf_dir, "documents")))
@@ -52,6 +59,11 @@ FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@query
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer)
+
+
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
