@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, secrets, token_counts
+from . import decontaminate, packing, pii, secrets, token_counts, toxicity
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -64,6 +64,12 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str, tokenizer: str = f"{T
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer)
 
 
+@query
+def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
