@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, secrets, token_counts, toxicity
+from . import decontaminate, fixity, line_chunks, naming, packing, pii, secrets, token_counts, toxicity
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -25,6 +26,28 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZER
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model)
 
 
+@query
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as an archive, against a replica in which some records have rotted or are gone, by rules on the id."""
+    pages = table(spark, sf_dir, "pages")
+    rotten = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.substring("html", 2, 2147483646))).otherwise(F.col("html"))
+    replica = pages.where("page_id % 211 <> 7").withColumn("html", rotten)
+    return fixity.audit(fixity.warc_records(pages), fixity.warc_records(replica)).withColumnRenamed("id", "page_id")
+
+
+ORACLE["op2_warc_fixity"] = """
+WITH records AS (
+  SELECT page_id, html,
+    strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)) AS bytes
+  FROM pages),
+placed AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM records)
+SELECT page_id, "offset", bytes::BIGINT AS expected_bytes, CASE WHEN page_id % 211 = 7 THEN 0 ELSE bytes END::BIGINT AS actual_bytes,
+  CASE WHEN page_id % 211 = 7 THEN 'missing' ELSE 'corrupt' END AS status
+FROM placed WHERE page_id % 211 = 7 OR (page_id % 97 = 5 AND html[1] <> '#')
+"""
+
+
 @query
 def op3_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.sanitise_spans(table(spark, sf_dir, "documents")))
@@ -59,6 +82,17 @@ FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@query
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.exact_groups(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 @query
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer)
@@ -73,3 +107,23 @@ def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+ORACLE["op9_line_chunk_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(ls) WITH ORDINALITY AS t(line, i)),
+marked AS (SELECT *, CASE WHEN i = 1 OR (lag(h) OVER d * 31 + h) % 4294967296 % 4 = 0 THEN 1 ELSE 0 END AS starts FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+placed AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM marked),
+chunks AS (SELECT doc_id, pos, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM placed GROUP BY doc_id, pos),
+flagged AS (SELECT *, n_lines > 1 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS removed FROM chunks)
+SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks, coalesce(sum(n_lines) FILTER (removed), 0)::BIGINT AS n_removed_lines,
+  count(*) FILTER (removed)::BIGINT AS n_removed_chunks, sha256(coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT removed), '')) AS text_sha256
+FROM flagged GROUP BY doc_id
+"""
