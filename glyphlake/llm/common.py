@@ -62,6 +62,18 @@ def map_texts(docs: DataFrame, kernel: Callable[[], Callable[[str], tuple]], sch
     return docs.mapInArrow(run, schema)
 
 
+def filter_texts(docs: DataFrame, kernel: Callable[[], Callable[[list[bytes]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows whose texts the kernel keeps, with all their columns and without a shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = kernel()
+        for batch in small_batches(batches):
+            yield batch.filter(pa.array(keep(raw_texts(batch.column(at))), type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the one the cluster names, else (tests) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _OWN_DIR.get(spark.sparkContext.applicationId)

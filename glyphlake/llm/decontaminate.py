@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, raw_texts, small_batches
+from .common import cut, filter_texts, id_and_text, raw_texts, small_batches
 
 WINDOW = 10
 #: Characters of benchmark text in one block, and words of documents in one shard.
@@ -208,3 +208,30 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **columns) -> Da
     items = F.array_sort(F.array_distinct("items"))
     found = find_contamination(docs, benchmark, **columns)
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows without a window of any item, with all their columns; each block of items filters what the last one left."""
+    context = docs.sparkSession.sparkContext
+    for block in blocks_of(benchmark, item_col, item_text_col, block_chars):
+        shared = context.broadcast(block)
+
+        def kernel(shared=shared):
+            windows = Windows(shared.value)
+            get = windows.vocabulary.get
+
+            def keep(raws: list[bytes]) -> list[bool]:
+                out: list[bool] = []
+                held, size = [], 0
+                for k, raw in enumerate(raws, 1):
+                    held.append([get(w, 0) for w in words_of(raw)])
+                    size += len(held[-1])
+                    if size >= SHARD_WORDS or k == len(raws):
+                        out += [not h.any() for h in shard_hits(held, windows)[0]]
+                        held, size = [], 0
+                return out
+
+            return keep
+
+        docs = filter_texts(docs, kernel, text_col)
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fixity, line_chunks, naming, packing, pii, secrets, token_counts, toxicity
+from . import decontaminate, fixity, jaccard, line_chunks, naming, packing, pii, secrets, token_counts, toxicity
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -127,3 +127,8 @@ SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks, co
   count(*) FILTER (removed)::BIGINT AS n_removed_chunks, sha256(coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT removed), '')) AS text_sha256
 FROM flagged GROUP BY doc_id
 """
+
+
+@query
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, map_texts, small_batches, texts_of
+from .common import cut, filter_texts, id_and_text, map_texts, small_batches, texts_of
 
 TRAIN_ROWS = 20_000
 FEATURES = 20_000
@@ -238,3 +238,14 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that score under 0.5, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES
+
+    def kernel():
+        own = shared.value
+        return lambda raws: [own.score(own.evidence(*own.segments(r.decode("utf-8", "replace")))) < 0.5 for r in raws]
+
+    return filter_texts(docs, kernel, text_col)
