@@ -63,7 +63,7 @@ class WordIds:
             # A point or comma after an ASCII letter is a token of its own.
             if w[-1:] in self.points and len(w) > 1 and w[-2:-1].isalpha() and w[-2] < 128:
                 ends[w] = w[:-1]
-        todo = list({ends.get(w, w) for w in words} - self.held.keys())
+        todo = list({ends.get(w, w) for w in words}.difference(self.held))
         plain = []
         for w in todo:
             text = w.decode("utf-8", "replace")
@@ -88,7 +88,7 @@ class WordIds:
         """ASCII letters are lowered first, as the tokenizer would; only ASCII white space parts words here."""
         words = raw.lower().split()
         held = self.held
-        new = set(words) - held.keys()
+        new = set(words).difference(held)  # looks up each word; a key view would be walked whole
         if new:
             if len(held) + len(new) > WORDS_HELD:
                 held.clear()
