@@ -116,16 +116,16 @@ def conv3x3(x: np.ndarray, w: np.ndarray, b: np.ndarray, stride: int = 1, depthw
     return out + b[None, :, None, None]
 
 
-def pointwise(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.einsum("nchw,oc->nohw", x, w, optimize=True) + b[None, :, None, None]
+def pointwise(x: np.ndarray, w: np.ndarray, b: np.ndarray, stride: int = 1) -> np.ndarray:
+    return np.einsum("nchw,oc->nohw", x[:, :, ::stride, ::stride], w, optimize=True) + b[None, :, None, None]
 
 
 def forward(x: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
     """Logits of [N, 24, 24] glyphs: convolution, two depthwise-separable blocks, average pool, linear."""
     y = np.maximum(conv3x3(x[:, None].astype(np.float32) / 255, weights["conv1_w"], weights["conv1_b"], 2), 0)
     for k in ("1", "2"):
-        y = np.maximum(conv3x3(y, weights[f"dw{k}_w"], weights[f"dw{k}_b"], 2 if k == "2" else 1, depthwise=True), 0)
-        y = np.maximum(pointwise(y, weights[f"pw{k}_w"], weights[f"pw{k}_b"]), 0)
+        y = np.maximum(conv3x3(y, weights[f"dw{k}_w"], weights[f"dw{k}_b"], depthwise=True), 0)
+        y = np.maximum(pointwise(y, weights[f"pw{k}_w"], weights[f"pw{k}_b"], 2), 0)
     return y.mean((2, 3)) @ weights["fc_w"].T + weights["fc_b"]
 
 

@@ -17,8 +17,8 @@ NARROW_BELOW = 0.8
 PROTOTYPE = "char_id int, proto_id int, render_size int, dx int, dy int, mode int, bits array<bigint>"
 #: Tensors of the network in file order, for a number of classes.
 TENSORS = (
-    ("conv1_w", (16, 1, 3, 3)), ("conv1_b", (16,)), ("dw1_w", (16, 3, 3)), ("dw1_b", (16,)), ("pw1_w", (32, 16)), ("pw1_b", (32,)),
-    ("dw2_w", (32, 3, 3)), ("dw2_b", (32,)), ("pw2_w", (32, 32)), ("pw2_b", (32,)),
+    ("conv1_w", (8, 1, 3, 3)), ("conv1_b", (8,)), ("dw1_w", (8, 3, 3)), ("dw1_b", (8,)), ("pw1_w", (16, 8)), ("pw1_b", (16,)),
+    ("dw2_w", (16, 3, 3)), ("dw2_b", (16,)), ("pw2_w", (32, 16)), ("pw2_b", (32,)),
 )
 
 
