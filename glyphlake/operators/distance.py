@@ -43,6 +43,15 @@ def distances(glyphs: DataFrame, prototypes: DataFrame, coarse: bool = False) ->
     return both.select("glyph_id", "char_id", "proto_id", F.bit_count(F.col("g_bits").bitwiseXOR(F.col("p_bits"))).alias("distance"))
 
 
+def wide_distances(glyphs: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """Like ``distances`` for bits held as arrays of 64-bit words. Equal glyphs are compared once."""
+    kinds = glyphs.select(F.col("bits").alias("g_bits")).distinct()
+    p = checked_broadcast(prototypes.select("proto_id", "char_id", F.col("bits").alias("p_bits")))
+    apart = F.aggregate(F.zip_with("g_bits", "p_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    best = kinds.join(p).groupBy("g_bits", "char_id").agg(F.min(F.struct(apart.alias("distance"), "proto_id")).alias("b"))
+    return glyphs.select("glyph_id", F.col("bits").alias("g_bits")).join(best, "g_bits").select("glyph_id", "char_id", "b.proto_id", "b.distance")
+
+
 def nearest(pairs: DataFrame) -> DataFrame:
     """The nearest prototype of each glyph, ties by class and prototype: a pre-aggregated minimum."""
     best = pairs.groupBy("glyph_id").agg(F.min(F.struct("distance", "char_id", "proto_id")).alias("b"))
