@@ -127,3 +127,20 @@ def weight_grid(spark, sf_dir):
     truth = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("truth"))
     own = logits(spark, sf_dir).where("char_id < 10").select(F.col("glyph_id").alias("sample_id"), "char_id", (1 / (1 + F.exp(-F.col("logit") * 4))).alias("cnn"), (((F.col("glyph_id") * 13 + F.col("char_id") * 29) % 100) / 100.0).alias("template"), (-0.01 * (F.col("char_id") % 5)).alias("geometry"))
     return evaluate.weight_grid(own.join(truth, "sample_id"), [0.30, 0.45, 0.60], [0.60, 0.45, 0.30], [0.05, 0.10, 0.20])
+
+
+@register("""
+WITH p AS (SELECT s_nationkey AS line_id, CASE s_suppkey % 3 WHEN 0 THEN 'clean' WHEN 1 THEN '12_1' ELSE '14_0' END AS state, 'T' || (s_suppkey % 5) AS text, 3 + s_suppkey % 4 AS n, -((s_suppkey * 37) % 101) / 10.0 AS score FROM supplier),
+q AS (SELECT *, round(score / pow(n + 0.5, 0.9), 9) AS norm FROM p),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line_id, text ORDER BY norm DESC, state DESC, n DESC) AS rn FROM q) WHERE rn = 1),
+r AS (SELECT *, row_number() OVER w AS rank, lead(norm) OVER w AS nxt FROM d WINDOW w AS (PARTITION BY line_id ORDER BY norm DESC, text)),
+t AS (SELECT *, exp(norm) / sum(exp(norm)) OVER (PARTITION BY line_id) AS share, lead(norm) OVER (PARTITION BY line_id ORDER BY rank) AS after FROM r WHERE rank <= 3)
+SELECT line_id, text, state, rank, round(share, 6) AS confidence, round(coalesce(norm - after, 0), 6)::DOUBLE AS margin, share < 0.5 AS rejected FROM t""")
+def merge_state_paths(spark, sf_dir):
+    from ..operators.ranker import merge_states
+
+    key = F.col("s_suppkey")
+    state = F.when(key % 3 == 0, "clean").when(key % 3 == 1, "12_1").otherwise("14_0")
+    paths = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("line_id"), state.alias("state"), F.concat(F.lit("T"), (key % 5).cast("string")).alias("text"), (3 + key % 4).alias("n"), (-((key * 37) % 101) / 10.0).alias("score"))
+    out = merge_states(paths, 3, 0.9, 0.5)
+    return out.select("line_id", "text", "state", F.col("rank").cast("long").alias("rank"), F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"), "rejected")

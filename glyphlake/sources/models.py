@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 from collections.abc import Iterator
@@ -133,3 +134,32 @@ def registered_hash(spark: SparkSession, path: str, registry: dict[str, str]) ->
     if registry.get(path.rsplit("/", 1)[-1]) != found:
         raise ValueError("the file isn't the registered one")
     return found
+
+
+def read_glyph_bank(spark: SparkSession, path: str) -> DataFrame:
+    """(char, proto_id, vec) of an archive with the arrays ``labels`` and ``data``; patches keep their order by character."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for raw in batch["content"]:
+                with np.load(io.BytesIO(bytes(raw)), allow_pickle=False) as bank:
+                    out = pd.DataFrame({"char": bank["labels"].astype(str), "vec": [v.ravel().astype(np.float64) for v in bank["data"]]})
+                yield out.assign(proto_id=out.groupby("char").cumcount())[["char", "proto_id", "vec"]]
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "char string, proto_id int, vec array<double>")
+
+
+def union_datasets(parts: list[DataFrame]) -> DataFrame:
+    """Labelled samples (label, font_sha256, …) of several sources as one, with class ids by first appearance; one font only."""
+    from ..operators.lexicon import first_seen
+
+    own = [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
+    both = own[0]
+    for p in own[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    if both.select("font_sha256").distinct().limit(2).count() > 1:
+        raise ValueError("all samples must be of one font")
+    seen = first_seen(both.select("label", "part").distinct(), ["label"], ["part"])
+    everything = seen.agg(F.sort_array(F.collect_list(F.struct("part", "label"))).alias("all"))  # a charset bounds it
+    ids = everything.select(F.posexplode("all").alias("char_id", "c")).select("char_id", "c.label")
+    return both.join(ids, "label").drop("part")

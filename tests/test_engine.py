@@ -47,3 +47,15 @@ def test_cuts():
     path, cost = sg.seam_cut(slanted, 6.0)
     assert path.tolist() == [5, 6, 7, 6] and cost == pytest.approx(0.4)
     assert sg.seam_cut(np.ones((1, 9), bool), 4.0) is None
+
+
+def test_ranker_learns(spark):
+    from glyphlake.operators.ranker import pair_differences, train_ranker
+
+    r = np.random.default_rng(2)
+    rows = []
+    for c in range(200):
+        for k in range(4):
+            rows.append((c, k == 0, [float(x) for x in (r.normal() + 2 * (k == 0), r.normal(), r.normal() - (k == 0))]))
+    w = train_ranker(pair_differences(spark.createDataFrame(rows, "cand_id long, right boolean, features array<double>")), 3)
+    assert w[0] > 0.5 > abs(w[1]) and w[2] < -0.2

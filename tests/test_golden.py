@@ -196,3 +196,14 @@ def test_network_and_files(spark, tmp_path):
     models.write_geometry(entries, f"file://{tmp_path}/g.json")
     stats = {s.narrow: s.width_ratio for s in models.geometry_classes(models.read_geometry(spark, f"file://{tmp_path}/g.json")).collect()}
     assert stats == {True: 0.5, False: 0.9}
+
+
+def test_banks_and_datasets(spark, tmp_path):
+    np.savez(tmp_path / "b.npz", labels=np.array(["a", "b", "a"]), data=np.arange(12, dtype=np.float32).reshape(3, 2, 2))
+    out = sorted((r.char, r.proto_id, r.vec) for r in models.read_glyph_bank(spark, f"file://{tmp_path}/b.npz").collect())
+    assert out == [("a", 0, [0, 1, 2, 3]), ("a", 1, [8, 9, 10, 11]), ("b", 0, [4, 5, 6, 7])]
+    one_font = spark.createDataFrame([("x", "f"), ("y", "f")], "label string, font_sha256 string")
+    more = spark.createDataFrame([("y", "f"), ("a", "f")], "label string, font_sha256 string")
+    assert {(r.label, r.char_id) for r in models.union_datasets([one_font, more]).collect()} == {("x", 0), ("y", 1), ("a", 2)}
+    with pytest.raises(ValueError):
+        models.union_datasets([one_font, spark.createDataFrame([("y", "g")], "label string, font_sha256 string")])
