@@ -7,9 +7,9 @@ prefix. Most classes have no shared shingle in their prefix and are done.
 
 Groups of similar classes: each class is compared with one representative, the class that is best connected in the prefix shingles they have in common,
 and links make groups (components). The matrix holds the union of each group's prefix shingles, one row per shingle and group, with the bounds of its members.
-A query class meets the other groups in its shingles; overlap with any member is at most the shared shingles of either, so a
-group is opened only if 7 min(s) >= 3 (n + n') and 4 min(n, n') >= 3 max(n, n') can hold for a member. Members of opened groups are
-compared exactly. Two classes of which more than a seventh is their own can't link, so many documents that share a passage are never paired with each other.
+A query class meets the other groups in its shingles. If a shingle is the first that a pair has in common, the overlap is at most what is
+left from it on in either (r, r'), so a group is opened there only if 7 min(r, r') >= 3 (n + n') and 4 min(n, n') >= 3 max(n, n') can hold for
+a member. Members of opened groups are compared exactly. Two classes of which more than a seventh is rarer than all they have in common can't link, so many documents that share a passage are never paired with each other.
 
 Skew: equal sets are one class from the first task on; counts are packed by range of hash, not by shingle; hot shingles
 and hubs are joined by pre-aggregated rows (``naming.attach``) or split by adaptive execution. No pairs within a group are made.
@@ -252,35 +252,40 @@ def range_bits(docs: DataFrame) -> int:
     return min(15, max(5, int(size / 6 / RANGE).bit_length()))
 
 
-def possible(n1: str, s1: str, n2: str, s2: str):
-    """Whether two classes of these sizes and shared shingles can link."""
+def possible(n1: str, left1: str, n2: str, left2: str):
+    """Whether two classes of these sizes can link if a shingle with so many left from it on, in either, is the first they have in common.
+
+    Links are never lost by this: at the first shingle a pair has in common, all it shares is among what is left in both.
+    """
     need = LINK[1] * (F.col(n1) + F.col(n2))
-    return (LINK[0] * F.least(n1, n2) >= LINK[1] * F.greatest(n1, n2)) & ((LINK[0] + LINK[1]) * F.least(s1, s2) >= need)
+    return (LINK[0] * F.least(n1, n2) >= LINK[1] * F.greatest(n1, n2)) & ((LINK[0] + LINK[1]) * F.least(left1, left2) >= need)
 
 
 def link_classes(live: DataFrame) -> DataFrame:
     """All links that components need, from the classes with shared shingles in their prefix."""
-    posts = cut(live.select("sid", "n", "s", "score", F.explode("prefix").alias("token")), "near-posts")
+    posts = live.select("sid", "n", "s", "score", F.posexplode("prefix").alias("pos", "token"))
+    # A class's own shingles come first, so s - pos shingles are left from this one on.
+    posts = cut(posts.select("sid", "n", "score", "token", (F.col("s") - F.col("pos")).alias("left")), "near-posts")
     # One representative per shingle, one comparison per class.
-    reps = posts.groupBy("token").agg(F.max(F.struct("score", "sid", "n", "s")).alias("rep"), F.count("*").alias("size")).where("size > 1")
-    met = attach(posts, cut(reps, "near-reps"), ["token"], "size").select("sid", "n", "s", F.col("rep.sid").alias("rep"), F.col("rep.n").alias("rn"), F.col("rep.s").alias("rs"))
-    votes = met.where("sid <> rep").where(possible("n", "s", "rn", "rs")).groupBy("sid", "rep").agg(F.count("*").alias("votes"))
+    reps = posts.groupBy("token").agg(F.max(F.struct("score", "sid", "n", "left")).alias("rep"), F.count("*").alias("size")).where("size > 1")
+    met = attach(posts, cut(reps, "near-reps"), ["token"], "size").select("sid", "n", "left", F.col("rep.sid").alias("rep"), F.col("rep.n").alias("rn"), F.col("rep.left").alias("rleft"))
+    votes = met.where("sid <> rep").where(possible("n", "left", "rn", "rleft")).groupBy("sid", "rep").agg(F.count("*").alias("votes"))
     best = votes.groupBy("sid").agg(F.max(F.struct("votes", "rep")).alias("best"))
     first = cut(verify(best.select(F.col("sid").alias("a"), F.col("best.rep").alias("b")), live), "near-first")
     groups = components(first, "near-groups")
     # The matrix: a row for each shingle and group, with the bounds of the members that have it.
-    room = (LINK[0] + LINK[1]) * F.col("s") - LINK[1] * F.col("n")  # LINK[1] times the largest partner
-    own = posts.join(groups, "sid", "left").select("token", "sid", "n", "s", F.coalesce("comp", "sid").alias("comp"), room.alias("room"))
+    room = (LINK[0] + LINK[1]) * F.col("left") - LINK[1] * F.col("n")  # LINK[1] times the largest partner
+    own = posts.join(groups, "sid", "left").select("token", "sid", "n", "left", F.coalesce("comp", "sid").alias("comp"), room.alias("room"))
     matrix = cut(own.groupBy("token", "comp").agg(F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.max("room").alias("g_room")), "near-matrix")
     open_tokens = matrix.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     query = cut(attach(own, cut(open_tokens, "near-open"), ["token"], "size").drop("size"), "near-query")
     group = matrix.withColumnRenamed("comp", "g_comp")
     bound = (query["token"] == group["token"]) & (F.col("comp") != F.col("g_comp")) & (LINK[0] * F.col("g_most") >= LINK[1] * F.col("n")) & (LINK[1] * F.col("g_least") <= F.col("room")) & (F.col("g_room") >= LINK[1] * F.col("n"))
     dense = F.col("room") >= LINK[1] * F.col("n")
-    hits = lambda q, g: q.join(g, bound).select(group["token"], "sid", "n", "s", "g_comp")
+    hits = lambda q, g: q.join(g, bound).select(group["token"], "sid", "n", "left", "g_comp")
     opened = hits(query.where(dense), group).unionByName(hits(query.where(~dense), group.where(F.col("g_room") >= LINK[1] * F.col("g_least"))))
-    member = query.select(F.col("token"), F.col("comp").alias("g_comp"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("s").alias("s2"))
-    pairs = opened.join(member, ["token", "g_comp"]).where("sid < sid2").where(possible("n", "s", "n2", "s2"))
+    member = query.select(F.col("token"), F.col("comp").alias("g_comp"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("left").alias("left2"))
+    pairs = opened.join(member, ["token", "g_comp"]).where("sid < sid2").where(possible("n", "left", "n2", "left2"))
     pairs = cut(pairs.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct(), "near-pairs")
     return first.unionByName(cut(verify(pairs, live), "near-second"))
 
