@@ -7,6 +7,9 @@ for their first place by (doc_id, row, place). Chunks are brought together by a
 Skew: chunks with more than ``HOT`` of all rows are at most 1 / HOT; their first places come from a pre-aggregated
 minimum that is broadcast, so no copy of them is shuffled. Texts are shuffled twice: to meet their copies and to be put together.
 
+A chunk's cut depends on the line before it, so this finds only a part of short repeated passages. ``deduplicate_passages`` leaves
+the chunks out and looks at every two successive lines and every long line, so it finds all passages of ``LEAST_LINES`` lines or more.
+
 Defined results: a null or empty text is one empty line; repeated rows are told apart by their place in the scan (see
 ``naming``); null ids come first; an empty table gives an empty table; other columns are ignored.
 """
@@ -17,12 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, id_and_text
-from .naming import hot_hashes
+from .naming import attach, hot_hashes
 
 #: A chunk begins where the rolling hash is divisible by this.
 DIVISOR = 4
 LEAST_LINES = 2
 MULTIPLIER, MODULUS = 31, 1 << 32
+#: A single line of more bytes is a passage of its own; every line of over 50 words has more.
+LONG_LINE = 100
 
 
 def line_hash(line):
@@ -66,3 +71,57 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     out = marked.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_chunks"), count(F.col("n_lines")).alias("n_removed_lines"), count(F.lit(1)).cast("long").alias("n_removed_chunks"), F.sort_array(F.collect_list(one)).alias("parts"))
     text = F.array_join(F.transform(F.filter("parts", lambda x: x["chunk"].isNotNull()), lambda x: x["chunk"]), "\n")
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "n_chunks", F.col("n_removed_lines").cast("long").alias("n_removed_lines"), "n_removed_chunks", text.alias("text"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+
+
+def name_line(line):
+    return F.xxhash64(line)
+
+
+def clashing(docs: DataFrame) -> list[int]:
+    """Hashes that stand for lines of different bytes: none but by chance or intent. Copies of a line meet in each task first."""
+    each = lines_of(docs).select(F.explode("lines").alias("line")).select(name_line(F.col("line")).alias("h"), "line").distinct()
+    return [x.h for x in each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h").collect()]
+
+
+def passages(docs: DataFrame, clash: list[int], long_line: int = LONG_LINE) -> DataFrame:
+    """One row per two successive lines and per long line: row, id, place, number of lines, their hashes, and their bytes where a hash clashes."""
+    hashed = lines_of(docs).withColumn("hashes", F.transform("lines", name_line))
+    line, h = lambda i: F.element_at("lines", i), lambda i: F.element_at("hashes", i)
+    told = lambda i, n: F.when(F.arrays_overlap(F.slice("hashes", i, n), F.array(*map(F.lit, clash))), F.array_join(F.slice("lines", i, n), "\n")).otherwise("") if clash else F.lit("")
+    part = lambda i, n, b: F.struct((i - 1).alias("pos"), F.lit(n).alias("n"), h(i).alias("a"), b.alias("b"), told(i, n).alias("c"))
+    every = F.sequence(F.lit(1), F.size("lines"))
+    pairs = F.transform(F.filter(every, lambda i: i < F.size("lines")), lambda i: part(i, 2, h(i + 1)))
+    singles = F.transform(F.filter(every, lambda i: F.octet_length(line(i)) > long_line), lambda i: part(i, 1, F.lit(0).cast("long")))
+    return hashed.select("row", "doc_id", F.explode(F.concat(pairs, singles)).alias("p")).select("row", "doc_id", "p.*")
+
+
+def removed_lines(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
+    """(row, gone): the places of lines in a passage that stands earlier in the corpus without overlapping, after a -1."""
+    keys, place = ["n", "a", "b", "c"], F.struct("doc_id", "row", "pos")
+    own = cut(passages(docs, clashing(docs), long_line), "passages")
+    groups = cut(own.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1"), "passage-groups")
+    later = attach(own, groups, keys, "rows").where((F.col("row") != F.col("first.row")) | (F.col("pos") >= F.col("first.pos") + F.col("n")))
+    gone = later.select("row", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("at"))
+    return gone.groupBy("row").agg(F.array_sort(F.concat(F.array(F.lit(-1)), F.collect_set("at"))).alias("gone"))
+
+
+def deduplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = LONG_LINE) -> DataFrame:
+    """One row per document: its lines, how many were removed, and the text that is left.
+
+    A line goes if it and a neighbour, or it alone if it is long, stand earlier by (doc_id, row, place) too. The first place of
+    a line's bytes never goes. Only hashes and places are grouped; bytes are shuffled once to tell hashes apart, texts once to lose lines.
+    """
+    docs = id_and_text(docs, id_col, text_col)
+    gone = cut(removed_lines(docs, long_line), "passage-lines")
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = own.join(gone.hint("merge"), "row", "left")  # the same plan at every size: its list grows with the corpus
+    own = own.withColumn("lines", F.split("text", "\n", -1))
+    until = lambda k: F.coalesce(F.try_element_at("gone", k + 2), F.size("lines"))
+    kept = F.transform("gone", lambda g, k: F.slice("lines", g + 2, until(k) - g - 1))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(kept), "\n"))
+    n_removed = F.coalesce(F.size("gone") - 1, F.lit(0))
+    return own.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed_lines"), text.alias("text"))

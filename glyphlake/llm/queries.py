@@ -129,6 +129,26 @@ FROM flagged GROUP BY doc_id
 """
 
 
+@query
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage of two lines or more, and every repeated long line."""
+    out = line_chunks.deduplicate_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+ORACLE["op9_passage_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, i, line, strlen(line) > 100 AS long, lead(line) OVER d AS next
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(ls) WITH ORDINALITY AS t(line, i) WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+parts AS (SELECT doc_id, i, 2 AS n, line || chr(10) || next AS part FROM lines WHERE next IS NOT NULL UNION ALL SELECT doc_id, i, 1, line FROM lines WHERE long),
+placed AS (SELECT doc_id, i, n, first_value(doc_id) OVER same AS doc0, first_value(i) OVER same AS i0 FROM parts WINDOW same AS (PARTITION BY n, part ORDER BY doc_id, i)),
+gone AS (SELECT DISTINCT doc_id, i + k AS i, true AS g FROM (SELECT * FROM placed WHERE doc_id <> doc0 OR i >= i0 + n), unnest(range(0, n)) AS t(k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (g)::BIGINT AS n_removed_lines,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g IS NULL), '')) AS text_sha256
+FROM lines LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
+"""
+
+
 @query
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents"))

@@ -86,6 +86,57 @@ def test_line_chunks_equal_brute_force(spark, tmp_path, monkeypatch, hot):
     assert line_chunks.deduplicate_lines(spark.read.parquet(str(tmp_path / "d")).limit(0)).collect() == []
 
 
+def brute_passages(rows):
+    """Lines left of each row, in the order of (doc_id, row); ``rows`` is in the order of the table."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
+    first, out = {}, {}
+    for k in order:
+        lines = (rows[k][1] or "").split("\n")
+        gone = set()
+        for i in range(len(lines)):
+            for n in (1, 2):
+                if i + n > len(lines) or n == 1 and len(lines[i].encode()) <= line_chunks.LONG_LINE:
+                    continue
+                row, at = first.setdefault((n, *lines[i : i + n]), (k, i))
+                if row != k or i >= at + n:
+                    gone |= set(range(i, i + n))
+        out[k] = (rows[k][0], len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return sorted(out.values(), key=str)
+
+
+@pytest.mark.parametrize("case", ["plain", "hot", "clash"])
+def test_passages_equal_brute_force(spark, tmp_path, monkeypatch, case):
+    """With a weak hash every line clashes with others and is told apart by its bytes."""
+    if case == "hot":
+        monkeypatch.setattr(naming, "LEAST_HOT", 1)
+    if case == "clash":
+        monkeypatch.setattr(line_chunks, "name_line", lambda line: F.xxhash64(line) % 3)
+    r = random.Random(5)
+    lines = [f"line {k}" for k in range(60)] + ["é" * 60, "w " * 60]
+    rows = [(i, "\n".join(r.choices(lines, k=r.randrange(1, 9)) + [f"own {i}", ""])) for i in range(80)]
+    rows += [(100, None), (101, ""), (None, rows[0][1]), (3, rows[3][1]), (102, "a\n" * 5000)]
+    spark.createDataFrame([(*x, "e") for x in rows], "doc_id long, text string, line string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = line_chunks.deduplicate_passages(docs)
+    assert not any(w in out._jdf.queryExecution().executedPlan().toString() for w in PLAN_WORDS)
+    assert sorted(map(tuple, out.collect()), key=str) == brute_passages(rows)
+    assert line_chunks.deduplicate_passages(docs.limit(0)).collect() == []
+
+
+def test_planted_passages_are_removed_whole(spark, tmp_path):
+    """Passages of 2 to 8 lines, and one long line, between lines of each document's own: all are removed but for their first place."""
+    planted = [[f"passage {n} line {k}" for k in range(n)] for n in range(2, 9)] + [["long " * 60]]
+    rows = [(i * 8 + k, "\n".join([f"before {i} {k}", *p, f"after {i} {k}"])) for i in range(6) for k, p in enumerate(planted)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = {x.doc_id: x for x in line_chunks.deduplicate_passages(docs).collect()}
+    for i, k in ((i, k) for i in range(6) for k in range(8)):
+        left = [f"before {i} {k}", *(planted[k] if i == 0 else []), f"after {i} {k}"]
+        assert out[i * 8 + k].text.split("\n") == left
+    chunks = {x.doc_id: x for x in line_chunks.deduplicate_lines(docs).collect()}
+    assert sum(chunks[i].n_removed_lines for i in chunks) < sum(out[i].n_removed_lines for i in out)
+
+
 def test_fixity_finds_each_difference(spark):
     rows = [(i, f"u{i}", f"body {i}" * (i % 5)) for i in range(300) if i % 7] + [(None, None, None), (8, "u8", "again"), (8, "u8", "again"), (5000, "far", "")]
     a = spark.createDataFrame(rows, "page_id long, url string, html string")
