@@ -37,6 +37,13 @@ def connected_components(spark, sf_dir):
     return lattice.connected_components(few.select(F.col("l_suppkey").alias("a"), (1000000 + F.col("l_partkey")).alias("b")).distinct())
 
 
+@register()
+def supplier_part_components(spark, sf_dir):
+    """All suppliers (even nodes) and parts (odd ones) that order lines link; ``connected_components`` keeps the few edges its recursive SQL can bear."""
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).cast("long").alias("a"), (F.col("l_partkey") * 2 + 1).cast("long").alias("b"))
+    return lattice.connected_components(edges.dropna().distinct())
+
+
 @register(f'WITH {ATOMS_SQL} SELECT line_id, s::BIGINT AS "start", e::BIGINT AS "end", x::DOUBLE AS x, w::DOUBLE AS w, h::DOUBLE AS h FROM cands')
 def candidate_ranges(spark, sf_dir):
     out = lattice.candidate_ranges(atoms(spark, sf_dir), 3)
