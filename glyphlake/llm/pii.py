@@ -3,11 +3,12 @@
 Base spans (email, ip, card, phone) are found by linear scans. Corpus co-occurrence then tells which ordinary terms give
 a protected entity away: for term t and kind c, PMI(t; c) = log2(n(t, c) N / (n(t) n(c))), where n(t, c) counts
 occurrences of t within ``WINDOW`` words of an entity of kind c. A term whose PMI reaches IC(c) / ALPHA, with
-IC(c) = -log2(n(c) / N), and that does so in at least ``MIN_DOCS`` documents, discloses c; its occurrences in those windows become spans of
-kind ``term`` and are generalised or removed with the entity. A document without an entity is left alone.
+IC(c) = -log2(n(c) / N), and that does so in at least ``MIN_DOCS`` documents, discloses c; all its occurrences in documents that hold an entity
+of kind c become spans of kind ``term`` and are generalised or removed with the entity. A document without an entity is left alone.
 
 Counts cover the whole corpus: each task adds up its own terms before anything is shuffled, so a term that fills a third
-of the corpus arrives as one number a task. Texts are never shuffled.
+of the corpus arrives as one number a task. Texts are never shuffled; those with an entity are kept with the spans, and read
+again for the terms.
 
 Defined results: a null or empty text has no spans; repeated rows each give a row; a null doc_id stays null; an empty
 table gives an empty table; other columns are ignored.
@@ -19,7 +20,7 @@ import re
 import string
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,6 +35,8 @@ ALPHA = 1.5
 MIN_DOCS = 5
 #: Partial term counts leave a task when it holds this many terms.
 TERMS_HELD = 200_000
+#: Up to so many disclosing terms go to the tasks that look for them; with more, every word outside the entities is joined with the terms.
+TERMS_LISTED = 20_000
 
 LOCAL = string.ascii_letters + string.digits + "._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,10 +46,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]+")
 
-ROW = "kind string, row string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<term:string,entity:string,a:int,b:int,first:int>>, term string, n long"
+ROW = "kind string, row string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, body string, near array<struct<term:string,entity:string,a:int,b:int,first:int>>, term string, n long"
 NEAR = pa.list_(pa.struct([("term", pa.string()), ("entity", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("first", pa.int32())]))
 ARROW = pa.schema(
-    [("kind", pa.string()), ("row", pa.string()), ("doc_id", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base", pa.string()), ("near", NEAR), ("term", pa.string()), ("n", pa.int64())]
+    [("kind", pa.string()), ("row", pa.string()), ("doc_id", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base", pa.string()), ("body", pa.string()), ("near", NEAR), ("term", pa.string()), ("n", pa.int64())]
 )
 
 
@@ -87,22 +90,27 @@ def entities(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def neighbours(text: str, base: list[tuple[str, int, int]], window: int) -> list[dict]:
-    """Terms within ``window`` words of an entity and outside all of them, once for each entity kind and place."""
-    words = [m.span() for m in TERM.finditer(text)]
-    starts = [a for a, _ in words]
+def overlaps(base: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a word touches one of the spans."""
     inside = sorted((a, b) for _, a, b in base)
     open_at = [a for a, _ in inside]
     reach: list[int] = []
     for _, b in inside:
         reach.append(max(b, reach[-1] if reach else 0))
+    return lambda s, e: bool(k := bisect_left(open_at, e)) and reach[k - 1] > s
+
+
+def neighbours(text: str, base: list[tuple[str, int, int]], window: int) -> list[dict]:
+    """Terms within ``window`` words of an entity and outside all of them, once for each entity kind and place."""
+    words = [m.span() for m in TERM.finditer(text)]
+    starts = [a for a, _ in words]
+    touches = overlaps(base)
     out, seen, kept = [], set(), set()
     for kind, a, b in base:
         lo, hi = bisect_left(starts, a), bisect_left(starts, b)
         for i in [*range(max(0, lo - window), lo), *range(hi, min(len(words), hi + window))]:
             s, e = words[i]
-            k = bisect_left(open_at, e)
-            if (kind, i) in kept or (k and reach[k - 1] > s):
+            if (kind, i) in kept or touches(s, e):
                 continue
             kept.add((kind, i))
             term = text[s:e].lower()
@@ -118,7 +126,7 @@ def _scan(window: int):
         def counts() -> pa.RecordBatch:
             terms = list(held)
             none = [None] * len(terms)
-            columns = [["t"] * len(terms), *[none] * 8, terms, [held[t] for t in terms]]
+            columns = [["t"] * len(terms), *[none] * 9, terms, [held[t] for t in terms]]
             out = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
             held.clear()
             return out
@@ -130,7 +138,7 @@ def _scan(window: int):
                 kinds = [k for k, _, _ in base]
                 held.update(TERM.findall(text.lower()))
                 near = neighbours(text, base, window) if base else []
-                rows.append(("d", f"{part}-{at}", doc_id, *(kinds.count(k) for k in KINDS), spans_text(base), near, None, None))
+                rows.append(("d", f"{part}-{at}", doc_id, *(kinds.count(k) for k in KINDS), spans_text(base), text if base else None, near, None, None))
                 at += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
             if len(held) >= TERMS_HELD:
@@ -159,13 +167,39 @@ def disclosing_terms(found: DataFrame, alpha: float = ALPHA, min_docs: int = MIN
     return scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha)).select("term", "entity", "pmi", "ic")
 
 
+PLACES = "row string, term string, kinds array<string>, at array<struct<a:int,b:int>>"
+PLACES_ARROW = pa.schema([("row", pa.string()), ("term", pa.string()), ("kinds", pa.list_(pa.string())), ("at", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+
+
+def _places(only: frozenset[str] | None):
+    """From (row, base, body): each term of the text, or those of ``only``, with all its places outside the entities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            rows = []
+            for row, spans, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(","))]
+                touches, kinds, at = overlaps(base), sorted({k for k, _, _ in base}), {}
+                for m in TERM.finditer(text):
+                    term = m.group().lower()
+                    if (only is None or term in only) and not touches(*m.span()):
+                        at.setdefault(term, []).append({"a": m.start(), "b": m.end()})
+                rows += [(row, term, kinds, places) for term, places in at.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), PLACES_ARROW, strict=True)], schema=PLACES_ARROW)
+
+    return run
+
+
 def sanitise_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per document: counts by kind, the base spans, and ``added``, the spans of disclosing terms."""
     found = cut(id_and_text(docs, id_col, text_col).mapInArrow(_scan(window), ROW), "pii-scan")
-    terms = disclosing_terms(found, alpha, min_docs)
-    places = found.where("kind = 'd' and size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.*")
-    hit = places.join(terms.select("term", "entity"), ["term", "entity"], "left_semi").select("row", "a", "b").distinct()
-    added = hit.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("added"))
+    terms = cut(disclosing_terms(found, alpha, min_docs).groupBy("term").agg(F.collect_set("entity").alias("entities")), "pii-terms")
+    listed = [x.term for x in terms.select("term").limit(TERMS_LISTED + 1).collect()]
+    only = frozenset(listed) if len(listed) <= TERMS_LISTED else None
+    places = found.where("kind = 'd' and body is not null").select("row", "base", "body").mapInArrow(_places(only), PLACES)
+    hit = places.join(terms, "term").where(F.arrays_overlap("kinds", "entities"))
+    added = hit.groupBy("row").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("added"))
     rows = found.where("kind = 'd'").select("row", "doc_id", *(f"n_{k}" for k in KINDS), "base")
     empty = F.array().cast("array<struct<a:int,b:int>>")
     return rows.join(added, "row", "left").withColumn("added", F.coalesce("added", empty)).drop("row")

@@ -1,8 +1,10 @@
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from glyphlake.llm import pii
 from glyphlake.llm.pii import digest_columns, disclosing_terms, entities, luhn, sanitise, sanitise_spans
 
 
@@ -43,6 +45,20 @@ def test_terms_above_the_threshold(spark):
     assert out[200].spans == "" and all(out[100 + i].spans == "" for i in range(20))
 
 
+@pytest.mark.parametrize("listed", [20_000, 0])
+def test_every_place_of_a_disclosing_term(spark, monkeypatch, listed):
+    """Far from the entity too, in any document that holds its kind; a document with another kind only keeps the term."""
+    monkeypatch.setattr(pii, "TERMS_LISTED", listed)
+    far = "the end of it all for now and then the rest of it goes on"
+    rows = [(i, f"hear zorblat u{i}@mail.example.com {far} Zorblat {far} zorblat@zorblat.example.com") for i in range(8)]
+    rows += [(50, f"a@b.cc {far} zorblat"), (51, f"10.0.0.1 {far} zorblat"), (200, "zorblat here")] + [(100 + i, f"{far} " * 40) for i in range(20)]
+    out = {r.doc_id: r for r in digest_columns(sanitise_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    text = dict(rows)
+    places = lambda i: [text[i][a:b].lower() for a, b in ((int(x.split(":")[1]), int(x.split(":")[2])) for x in out[i].spans.split(",") if x.startswith("term:"))]
+    assert all(places(i).count("zorblat") == 2 for i in range(8)) and places(50) == ["zorblat"]
+    assert places(51) == [] and out[200].spans == "" and "zorblat" not in sanitise(text[3], out[3].spans).lower()
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "x"), (2, "", "y"), (None, "a@b.cc", "z"), (3, "a@b.cc", "z"), (3, "a@b.cc", "z")]
     out = digest_columns(sanitise_spans(spark.createDataFrame(rows, "doc_id long, text string, near string"))).collect()
