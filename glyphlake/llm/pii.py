@@ -3,9 +3,13 @@
 Base spans (email, ip, card, phone) are found by linear scans. Corpus co-occurrence then tells which ordinary terms give
 a protected entity away: for term t and kind c, PMI(t; c) = log2(n(t, c) N / (n(t) n(c))), where n(t, c) counts
 occurrences of t within ``WINDOW`` words of an entity of kind c. A term whose PMI reaches IC(c) / ALPHA, with
-IC(c) = -log2(n(c) / N), and that does so in at least ``MIN_DOCS`` documents, discloses c; all its occurrences in documents that hold an entity
+IC(c) = -log2(n(c) / N), and that does so in at least ``MIN_DOCS`` documents or beyond chance, discloses c; all its occurrences in documents that hold an entity
 of kind c become spans of kind ``term`` and are generalised or removed with the entity. A document without an entity is left alone.
 
+Beyond chance: if t stood beside k different entities of kind c by chance, with probability n(c) / N at each of its n(t) places, that would
+have a probability of at most C(n(t), k) (n(c) / N)^k. Times the number of all terms and kinds, this has to be under ``CHANCE``. Entities are counted by
+their text, so copies of a document count once.
+
 Counts cover the whole corpus: each task adds up its own terms before anything is shuffled, so a term that fills a third
 of the corpus arrives as one number a task. Texts are never shuffled; those with an entity are kept with the spans, and read
 again for the terms.
@@ -16,11 +20,13 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import string
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,6 +39,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW = 4
 ALPHA = 1.5
 MIN_DOCS = 5
+#: The expected number of terms that a whole corpus adds by chance.
+CHANCE = 0.01
 #: Partial term counts leave a task when it holds this many terms.
 TERMS_HELD = 200_000
 #: Up to so many disclosing terms go to the tasks that look for them; with more, every word outside the entities is joined with the terms.
@@ -46,8 +54,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]+")
 
-ROW = "kind string, row string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, body string, near array<struct<term:string,entity:string,a:int,b:int,first:int>>, term string, n long"
-NEAR = pa.list_(pa.struct([("term", pa.string()), ("entity", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("first", pa.int32())]))
+ROW = "kind string, row string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, body string, near array<struct<term:string,entity:string,who:long,a:int,b:int,first:int>>, term string, n long"
+NEAR = pa.list_(pa.struct([("term", pa.string()), ("entity", pa.string()), ("who", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("first", pa.int32())]))
 ARROW = pa.schema(
     [("kind", pa.string()), ("row", pa.string()), ("doc_id", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base", pa.string()), ("body", pa.string()), ("near", NEAR), ("term", pa.string()), ("n", pa.int64())]
 )
@@ -107,6 +115,7 @@ def neighbours(text: str, base: list[tuple[str, int, int]], window: int) -> list
     touches = overlaps(base)
     out, seen, kept = [], set(), set()
     for kind, a, b in base:
+        who = int.from_bytes(blake2b(text[a:b].encode(), digest_size=8).digest(), "big", signed=True)
         lo, hi = bisect_left(starts, a), bisect_left(starts, b)
         for i in [*range(max(0, lo - window), lo), *range(hi, min(len(words), hi + window))]:
             s, e = words[i]
@@ -114,7 +123,7 @@ def neighbours(text: str, base: list[tuple[str, int, int]], window: int) -> list
                 continue
             kept.add((kind, i))
             term = text[s:e].lower()
-            out.append({"term": term, "entity": kind, "a": s, "b": e, "first": int((kind, term) not in seen)})
+            out.append({"term": term, "entity": kind, "who": who, "a": s, "b": e, "first": int((kind, term) not in seen)})
             seen.add((kind, term))
     return out
 
@@ -153,18 +162,26 @@ def spans_text(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def disclosing_terms(found: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS) -> DataFrame:
+def log_choose(n, k):
+    """An upper bound of ln C(n, k), k >= 1: k ln n - ln k!, with Robbins' lower bound of k!."""
+    return k * F.log(n) - ((k + 0.5) * F.log(k) - k + 0.5 * F.log(F.lit(2 * math.pi)) + 1 / (12 * k + 1))
+
+
+def disclosing_terms(found: DataFrame, alpha: float = ALPHA, min_docs: int = MIN_DOCS, chance: float = CHANCE) -> DataFrame:
     """(term, entity, pmi, ic) of every term above the disclosure threshold, from the rows of the scan."""
     places = found.where("kind = 'd' and size(near) > 0").select(F.explode("near").alias("x")).select("x.*")
-    near = places.groupBy("term", "entity").agg(F.count("*").alias("n_near"), F.sum("first").alias("n_docs"))
-    near = near.where(F.col("n_docs") >= min_docs)
-    every = found.where("kind = 't'").groupBy("term").agg(F.sum("n").alias("n_term"))
-    corpus = found.where("kind = 't'").agg(F.sum("n").alias("total"))
+    near = places.groupBy("term", "entity", "who").agg(F.count("*").alias("n"), F.sum("first").alias("first"))
+    near = near.groupBy("term", "entity").agg(F.sum("n").alias("n_near"), F.sum("first").alias("n_docs"), F.count("*").alias("n_who"))
+    every = cut(found.where("kind = 't'").groupBy("term").agg(F.sum("n").alias("n_term")), "pii-counts")
+    corpus = every.agg(F.sum("n_term").alias("total"), (F.count("*") * len(KINDS)).alias("pairs"))
     slots = places.groupBy("entity").agg(F.count("*").alias("n_kind"))  # one row for each kind
     scored = near.join(F.broadcast(slots), "entity").join(every, "term").join(F.broadcast(corpus))  # one row
     pmi = F.log2(F.col("n_near") * F.col("total").cast("double") / (F.col("n_term") * F.col("n_kind").cast("double")))
     scored = scored.withColumns({"pmi": pmi, "ic": -F.log2(F.col("n_kind") / F.col("total").cast("double"))})
-    return scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha)).select("term", "entity", "pmi", "ic")
+    k = F.col("n_who").cast("double")
+    by_chance = log_choose(F.col("n_term").cast("double"), k) + k * F.log(F.col("n_kind") / F.col("total").cast("double")) + F.log("pairs")
+    enough = (F.col("n_docs") >= min_docs) | (by_chance < math.log(chance))
+    return scored.where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha) & enough).select("term", "entity", "pmi", "ic")
 
 
 PLACES = "row string, term string, kinds array<string>, at array<struct<a:int,b:int>>"

@@ -59,6 +59,18 @@ def test_every_place_of_a_disclosing_term(spark, monkeypatch, listed):
     assert places(51) == [] and out[200].spans == "" and "zorblat" not in sanitise(text[3], out[3].spans).lower()
 
 
+def test_rare_terms_beyond_chance(spark):
+    """Three documents are enough if their entities differ; three copies, or one document, are not."""
+    far = "the end of it all for now and then the rest of it goes on"
+    rows = [(i, f"{far} zorblat u{i}@mail.example.com {far}") for i in range(3)]
+    rows += [(10 + i, f"{far} quibbon same@mail.example.com {far}") for i in range(3)] + [(20, f"{far} wexel one@mail.example.com {far}")]
+    rows += [(100 + i, f"{far} " * 100) for i in range(40)]
+    out = {r.doc_id: r for r in digest_columns(sanitise_spans(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    words = lambda i: [dict(rows)[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in out[i].spans.split(",") if x) if k == "term"]
+    assert all("zorblat" in words(i) for i in range(3))
+    assert not any("quibbon" in words(10 + i) for i in range(3)) and "wexel" not in words(20)
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "x"), (2, "", "y"), (None, "a@b.cc", "z"), (3, "a@b.cc", "z"), (3, "a@b.cc", "z")]
     out = digest_columns(sanitise_spans(spark.createDataFrame(rows, "doc_id long, text string, near string"))).collect()
