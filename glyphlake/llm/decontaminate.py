@@ -4,7 +4,8 @@ Each task builds suffix arrays over shards of its own documents and looks every
 an interval of the array is all places where the window stands verbatim. Documents are never shuffled: a document lies
 whole in one shard, so its answer is complete where it is read. Only suffixes that begin a run of benchmark words long
 enough for a window are kept in an array, since no other suffix can match. The array is sorted by as many words as the longest
-window has, which decides every lookup; longer verbatim matches are chains of windows and come out as their union.
+window has, which decides every lookup; longer verbatim matches are chains of windows: their union marks the words, and where places are asked for, windows that follow
+one another in document and item alike are chained into longest matches.
 
 The benchmark goes to the tasks as blocks of at most ``BLOCK_CHARS`` characters (one item at least). One block is the
 usual case; further blocks run one after another over the same rows, each adding to the words already hit.
@@ -34,6 +35,7 @@ SHARD_WORDS = 500_000
 SPACES = bytes(32 if b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) else b for b in range(256))
 
 FIELDS = {"doc_id": ("long", pa.int64()), "text": ("string", pa.string()), "n_words": ("long", pa.int64()), "n_hit": ("long", pa.int64()), "hits": ("binary", pa.binary()), "items": ("array<string>", pa.list_(pa.string()))}
+MATCH = ("array<struct<doc_start:int,item:string,item_start:int,length:int>>", pa.list_(pa.struct([("doc_start", pa.int32()), ("item", pa.string()), ("item_start", pa.int32()), ("length", pa.int32())])))
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -44,9 +46,11 @@ def words_of(raw: bytes) -> list[bytes]:
 class Windows:
     """The windows of a block of items, as integer words packed into fixed-width keys that compare as sequences."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, places_too: bool = False):
         self.vocabulary: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[int]] = {}
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.texts: list[int] = []
         self.items = sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(self.items)}
         for item, raw in items:
@@ -54,10 +58,14 @@ class Windows:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(raw)]
             if ids:
                 for at in range(max(1, len(ids) - window + 1)):
-                    owners.setdefault(tuple(ids[at : at + window]), set()).add(k)
+                    owners.setdefault(key := tuple(ids[at : at + window]), set()).add(k)
+                    if places_too:
+                        places.setdefault(key, []).append((len(self.texts), at))
+                self.texts.append(k)  # the item of each text: an id may have several
         self.window = window
         self.windows = sorted(owners)
         self.owners = [np.array(sorted(owners[w])) for w in self.windows]
+        self.places = [np.array(places[w]) for w in self.windows] if places_too else None
         self.sizes = np.array([len(w) for w in self.windows], dtype=np.int64)
         self.least = int(self.sizes.min()) if self.windows else 0
         bits = max(1, len(self.vocabulary).bit_length())
@@ -98,8 +106,22 @@ def search(order: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
     return lo
 
 
-def shard_hits(docs: list[list[int]], windows: Windows) -> tuple[list[np.ndarray], list[list[int]]]:
-    """For each document of a shard: which of its words are hit, and the numbers of the items that occur in it."""
+def chains(found: list[tuple[np.ndarray, np.ndarray, int]], begin: np.ndarray, windows: Windows) -> Iterator[tuple[int, dict]]:
+    """(document, match) of every longest match: ``found`` has places in the shard, (text, place) of the items, and a window's size."""
+    at = np.concatenate([np.repeat(a, len(p)) for a, p, _ in found])
+    text, place = np.concatenate([np.tile(p, (len(a), 1)) for a, p, _ in found]).T
+    size = np.concatenate([np.full(len(a) * len(p), n) for a, p, n in found])
+    order = np.lexsort((at, at - place, text))
+    at, text, place, size = at[order], text[order], place[order], size[order]
+    apart = (np.diff(text) != 0) | (np.diff(at - place) != 0) | (np.diff(at) != 1)
+    first, last = np.flatnonzero(np.concatenate(([True], apart))), np.flatnonzero(np.concatenate((apart, [True])))
+    doc = np.searchsorted(begin, at[first], side="right") - 1
+    for d, a, b in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True):
+        yield d, {"doc_start": int(at[a] - begin[d]), "item": windows.items[windows.texts[text[a]]], "item_start": int(place[a]), "length": int(at[b] - at[a] + size[a])}
+
+
+def shard_hits(docs: list[list[int]], windows: Windows) -> tuple[list[np.ndarray], list[list[int]], list[list[dict]]]:
+    """For each document of a shard: which of its words are hit, the numbers of the items that occur in it, and the matches if the windows have places."""
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
     words = np.zeros(int((sizes + 1).sum()) + windows.window, dtype=np.int64)
@@ -110,6 +132,7 @@ def shard_hits(docs: list[list[int]], windows: Windows) -> tuple[list[np.ndarray
     starts = np.flatnonzero(run >= windows.least) if windows.least else np.zeros(0, dtype=np.int64)
     marks = np.zeros(len(words) + 1, dtype=np.int32)
     pairs: set[tuple[int, int]] = set()
+    found: list[tuple[np.ndarray, np.ndarray, int]] = []
     if len(starts):
         # A document's end is a stop, so words past it must not count towards a key.
         ahead = np.where(np.arange(windows.window) < run[starts][:, None], words[np.minimum(starts[:, None] + np.arange(windows.window), len(words) - 1)], 0)
@@ -124,25 +147,31 @@ def shard_hits(docs: list[list[int]], windows: Windows) -> tuple[list[np.ndarray
             np.add.at(marks, at + windows.sizes[k], -1)
             inside = np.unique(np.searchsorted(begin, at, side="right") - 1)
             pairs.update((int(d), int(i)) for d in inside for i in windows.owners[k])
+            if windows.places is not None:
+                found.append((at, windows.places[k], int(windows.sizes[k])))
     hit = np.cumsum(marks)[:-1] > 0
     items: list[list[int]] = [[] for _ in docs]
     for d, i in pairs:
         items[d].append(i)
-    return [hit[a : a + n] for a, n in zip(begin, sizes, strict=True)], items
+    matches: list[list[dict]] = [[] for _ in docs]
+    for d, m in chains(found, begin, windows) if found else ():
+        matches[d].append(m)
+    return [hit[a : a + n] for a, n in zip(begin, sizes, strict=True)], items, matches
 
 
-def _scan(block, keep_text: bool):
-    names = [c for c in FIELDS if keep_text or c != "text"]
-    arrow = pa.schema([(c, FIELDS[c][1]) for c in names])
+def _scan(block, keep_text: bool, with_matches: bool):
+    fields = FIELDS | ({"matches": MATCH} if with_matches else {})
+    names = [c for c in fields if keep_text or c != "text"]
+    arrow = pa.schema([(c, fields[c][1]) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(block.value)
+        windows = Windows(block.value, places_too=with_matches)
         get = windows.vocabulary.get
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            found, numbers = shard_hits([x[2] for x in held], windows)
-            for k, (_, _, ids, before, _) in enumerate(held):
+            found, numbers, matches = shard_hits([x[2] for x in held], windows)
+            for k, (_, _, ids, before, _, _) in enumerate(held):
                 if before:
                     found[k] = found[k] | np.unpackbits(np.frombuffer(before, dtype=np.uint8), count=len(ids)).astype(bool)
             out = {
@@ -152,14 +181,16 @@ def _scan(block, keep_text: bool):
                 "n_hit": [int(h.sum()) for h in found],
                 "hits": [np.packbits(h).tobytes() for h in found],
                 "items": [[*x[4], *(windows.items[i] for i in own)] for x, own in zip(held, numbers, strict=True)],
+                "matches": [[*x[5], *own] for x, own in zip(held, matches, strict=True)],
             }
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out[c], type=FIELDS[c][1]) for c in names], schema=arrow)
+            return pa.RecordBatch.from_arrays([pa.array(out[c], type=fields[c][1]) for c in names], schema=arrow)
 
         size = 0
         for batch in small_batches(batches):
-            for doc_id, raw, hits, items in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                held.append((doc_id, raw if keep_text else None, [get(w, 0) for w in words_of(raw)], hits, items or []))
+            earlier = batch.column(4).to_pylist() if with_matches else [None] * batch.num_rows
+            for doc_id, raw, hits, items, matches in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), earlier, strict=True):
+                held.append((doc_id, raw if keep_text else None, [get(w, 0) for w in words_of(raw)], hits, items or [], matches or []))
                 size += len(held[-1][2])
                 if size >= SHARD_WORDS:
                     yield flush()
@@ -167,7 +198,7 @@ def _scan(block, keep_text: bool):
         if held:
             yield flush()
 
-    return run, ", ".join(f"{c} {FIELDS[c][0]}" for c in names)
+    return run, ", ".join(f"{c} {fields[c][0]}" for c in names)
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -188,16 +219,20 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_chars: i
         yield held
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document: n_words, n_hit, ``hits`` (a bit for each word) and ``items``, the ids that occur in it."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, with_matches: bool = False) -> DataFrame:
+    """One row per document: n_words, n_hit, ``hits`` (a bit for each word) and ``items``, the ids that occur in it.
+
+    With ``matches`` on request: every longest match of a window's length or more, with its place in document and item, in words.
+    """
     context = docs.sparkSession.sparkContext
-    rows = id_and_text(docs, id_col, text_col).withColumns({"hits": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
+    rows = id_and_text(docs, id_col, text_col).withColumns({"hits": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")} | ({"matches": F.lit(None).cast(MATCH[0])} if with_matches else {}))
+    carried = ["doc_id", "text", "hits", "items", *(["matches"] if with_matches else [])]
     blocks = blocks_of(benchmark, item_col, item_text_col, block_chars)
     block = next(blocks, [])
     while True:
         following = next(blocks, None)
-        run, schema = _scan(context.broadcast(block), keep_text=following is not None)
-        rows = rows.select("doc_id", "text", "hits", "items").mapInArrow(run, schema)
+        run, schema = _scan(context.broadcast(block), keep_text=following is not None, with_matches=with_matches)
+        rows = rows.select(carried).mapInArrow(run, schema)
         if following is None:
             return rows
         rows, block = cut(rows, "decontaminate"), following

@@ -45,6 +45,39 @@ def test_equals_brute_force_in_one_block_and_in_many(spark):
         assert sorted(((r.doc_id, r.n_words, r.n_hit, sorted(set(r["items"]))) for r in got), key=str) == expect
 
 
+def brute_matches(docs, items):
+    """Extend every pair of places to the right as far as words agree, from where they don't agree to the left."""
+    out = []
+    for doc_id, text in docs:
+        w, own = words(text), []
+        for item, t in items:
+            v = words(t)
+            for p in range(len(w)):
+                for q in range(len(v)):
+                    if w[p] != v[q] or p and q and w[p - 1] == v[q - 1]:
+                        continue
+                    n = 1
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    if n >= min(10, len(v)):
+                        own.append((p, str(item), q, n))
+        out.append((doc_id, sorted(own)))
+    return sorted(out, key=str)
+
+
+def test_longest_matches_equal_brute_force(spark):
+    docs, items = fixture()
+    long = " ".join(f"w{k}" for k in range(40))
+    docs = [*docs[:-1], (600, f"x1 {long} y2"), (601, f"w5 {long.replace('w20', 'zz')}")]
+    items = [*items, (90, f"start {long}")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (10**7, 150):
+        got = find_contamination(d, b, block_chars=size, with_matches=True).collect()
+        assert sorted(((r.doc_id, sorted(map(tuple, r.matches))) for r in got), key=str) == brute_matches(docs, items)
+    own = {r.doc_id: [tuple(m) for m in r.matches] for r in got}
+    assert own[600] == [(1, "90", 1, 40)] and sorted(own[601]) == [(1, "90", 1, 20), (22, "90", 22, 19)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
