@@ -5,7 +5,8 @@ Every record is hashed where it is read. The tree stands over the records' ids i
 are compared from the root, and only children of nodes that differ are looked at; offsets are added up on the way down.
 
 An id may have several records, up to a third of all: a leaf's hash therefore sums the words of its records' digests,
-which is pre-aggregated in each task and doesn't depend on their order. Nothing larger than ``FANOUT`` rows is gathered into one row.
+which is pre-aggregated in each task and doesn't depend on their order. ``audit_records`` goes on below the differing ids, to single records
+by their digest and count. The order of the records within an id is not audited: two that change places are no difference. Nothing larger than ``FANOUT`` rows is gathered into one row.
 
 Defined results: a null id is a leaf of its own before all others; a null url or body counts as empty; repeated records
 count; an empty replica against a full one reports every leaf; two empty ones report none; other columns are ignored.
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
+from .naming import attach
 
 FANOUT = 16
 WORDS = 8
@@ -86,3 +88,16 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
     return open_.select(slot_id.alias("id"), "offset", F.coalesce("expected_bytes", F.lit(0)).cast("long").alias("expected_bytes"), F.coalesce("actual_bytes", F.lit(0)).cast("long").alias("actual_bytes"), status.alias("status"))
 
 
+
+
+def audit_records(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """One row per differing record, (id, digest): its bytes and how often it stands in both. A rotten record is one that is gone and one that is new.
+
+    Digests of the differing ids only are compared. They meet by id and digest, so an id of many records fills no task.
+    """
+    key = F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("key")
+    side = lambda x, ours: x.select(key, "id", F.sha2("record", 256).alias("sha256"), F.octet_length("record").cast("long").alias("bytes"), F.lit(ours).alias("ours"))
+    open_ = cut(audit(primary, replica, fanout).select(key), "fixity-ids")
+    both = cut(side(primary, True).unionByName(side(replica, False)).groupBy("key", "id", "sha256", "bytes").agg(F.count_if("ours").alias("expected_n"), F.count_if(~F.col("ours")).alias("actual_n")), "fixity-records")
+    sizes = cut(both.groupBy("key").agg(F.count("*").alias("size")).join(open_, "key", "left_semi"), "fixity-sizes")
+    return attach(both, sizes, ["key"], "size").where("expected_n <> actual_n").select("id", "sha256", "bytes", "expected_n", "actual_n")

@@ -155,3 +155,20 @@ def test_fixity_finds_each_difference(spark):
     none = a.limit(0)
     assert fixity.audit(fixity.warc_records(none), fixity.warc_records(none)).collect() == []
     assert fixity.audit(fixity.warc_records(a), fixity.warc_records(none)).count() == len(size)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_fixity_ends_at_the_record(spark, monkeypatch, hot):
+    """One rotten record among many of an id, one copy less of another, and a lost null id; other records and order don't count."""
+    if hot:
+        monkeypatch.setattr(naming, "LEAST_HOT", 1)
+    rows = [(8, f"u{k}", f"body {k}") for k in range(200)] + [(9, "u", "twin")] * 3 + [(None, None, None)] + [(i, "u", "b") for i in range(20, 60)]
+    changed = [(i, u, "!" + t[1:]) if u == "u77" else (i, u, t) for i, u, t in rows if i is not None]
+    changed.remove((9, "u", "twin"))
+    a, b = (fixity.warc_records(spark.createDataFrame(x, "page_id long, url string, html string")) for x in (rows, changed[::-1]))
+    sha = lambda x, where: x.where(where).select(F.sha2("record", 256).alias("s"), F.octet_length("record").alias("n")).first()
+    rot, new, twin, none = sha(a, "record like '%URI: u77\r%'"), sha(b, "record like '%URI: u77\r%'"), sha(a, "id = 9"), sha(a, "id is null")
+    expect = {(8, *rot, 1, 0), (8, *new, 0, 1), (9, *twin, 3, 2), (None, *none, 1, 0)}
+    got = [tuple(r) for r in fixity.audit_records(a, b, fanout=4).collect()]
+    assert len(got) == 4 and set(got) == expect
+    assert fixity.audit_records(a, a).collect() == []
