@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import gc
 import hashlib
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders made here, by application, where the cluster names none.
+#: The folder of each application, and where each table of ``cut`` lies.
 _OWN_DIR: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 #: Rows handed to a kernel at a time. A batch of Spark's may hold thousands of long texts.
 ROWS = 256
 
@@ -74,17 +81,50 @@ def filter_texts(docs: DataFrame, kernel: Callable[[], Callable[[list[bytes]], l
     return docs.mapInArrow(run, docs.schema)
 
 
+def release() -> None:
+    """Give what a finished task has freed back to the system: Python workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the one the cluster names, else (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN_DIR.get(spark.sparkContext.applicationId)
-    if not found:
-        found = _OWN_DIR[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="glyphlake-")
-    return found.rstrip("/")
+    """The folder that all executors share: the one the cluster names. A session on one machine without it gets a temporary one."""
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIR:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+            found = "file://" + tempfile.mkdtemp(prefix="glyphlake-")
+        _OWN_DIR[app] = f"{found.rstrip('/')}/glyphlake-{app}"
+        atexit.register(_delete, spark, _OWN_DIR[app])
+    return _OWN_DIR[app]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: lineage ends here, and losing an executor loses nothing."""
+    """Write a table into the shared folder and read it again: lineage ends here, and losing an executor loses nothing.
+
+    Tables go when the application ends, or earlier by ``discard``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` that no later plan reads."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            _delete(t.sparkSession, path)

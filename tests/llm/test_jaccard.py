@@ -57,6 +57,8 @@ def test_components_equal_brute_force(spark):
     d = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, n int").repartition(5)
     got = sorted((tuple(r) for r in near_groups(d).collect()), key=str)
     assert got == brute(rows)
+    # Ranges are split a second time.
+    assert sorted((tuple(r) for r in near_groups(d, coarse=3).collect()), key=str) == got
 
 
 def test_empty_and_kept(spark):
