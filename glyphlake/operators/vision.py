@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,35 +13,49 @@ TARGET = 24
 LUMA = (0.299, 0.587, 0.114)
 
 
-def lightness_saturation(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rgb = image.astype(np.float32) / 255
-    top, low = rgb.max(-1), rgb.min(-1)
-    light, delta = (top + low) / 2, top - low
-    room = np.maximum(1 - np.abs(2 * light - 1), 1e-6)
-    return light, np.where(delta > 0, delta / room, 0)
+@dataclass(frozen=True)
+class Ink:
+    """What counts as text: a range of lightness at little saturation, closeness to a colour, or a range of luma.
+
+    All three are one measure: a level that grows with lightness, or with closeness, up to ``full``, and how much colour spoils it.
+    """
+
+    threshold: float = 128
+    bright: bool = True
+    saturation: float | None = None
+    color: tuple[int, int, int] | None = None
+    tolerance: int = 40
+
+    def measure(self, image: np.ndarray) -> tuple[np.ndarray, float, np.ndarray | float]:
+        """(level, its largest value, share of the allowed saturation)."""
+        if self.saturation is not None:
+            ends = np.stack([image.max(-1), image.min(-1)]).astype(np.float32) / 255
+            both, chroma = ends.sum(0), ends[0] - ends[1]
+            return both / 2, 1.0, chroma / np.maximum(1 - np.abs(both - 1), 1e-6) / max(self.saturation, 1e-6)
+        if self.color is not None:
+            return 255 - np.abs(np.subtract(image, self.color, dtype=np.int16)).max(-1), 255.0, 0.0
+        return image @ np.array(LUMA, np.float32), 255.0, 0.0
+
+    def hard(self, image: np.ndarray) -> np.ndarray:
+        level, _, spoilt = self.measure(image)
+        if self.color is not None:
+            return level >= 255 - self.tolerance
+        return (level >= self.threshold if self.bright else level <= self.threshold) & (np.asarray(spoilt) <= 1)
+
+    def soft(self, image: np.ndarray) -> np.ndarray:
+        """Strength 0..255, truncated."""
+        level, full, spoilt = self.measure(image)
+        shown = level if self.bright or self.color is not None else full - level
+        return (np.clip(shown * np.clip(1 - np.asarray(spoilt), 0, 1), 0, full) * (255 / full)).astype(np.uint8)
 
 
 def foreground(image: np.ndarray, threshold: float = 128, bright: bool = True, hsl: tuple[float, float] | None = None, color: tuple[int, int, int] | None = None, tolerance: int = 40) -> np.ndarray:
-    """Hard ink mask: by lightness and saturation, by distance from a colour, else by luma."""
-    if hsl is not None:
-        light, sat = lightness_saturation(image)
-        return ((light >= hsl[0]) if bright else (light <= hsl[0])) & (sat <= hsl[1])
-    if color is not None:
-        return (np.abs(image.astype(np.int16) - np.array(color, np.int16)) <= tolerance).all(-1)
-    gray = image @ np.array(LUMA, np.float32)
-    return gray >= threshold if bright else gray <= threshold
+    """Hard ink mask."""
+    return Ink(hsl[0] if hsl else threshold, bright, hsl[1] if hsl else None, color, tolerance).hard(image)
 
 
 def soft_foreground(image: np.ndarray, bright: bool = True, hsl: tuple[float, float] | None = None, color: tuple[int, int, int] | None = None) -> np.ndarray:
-    """Foreground strength 0..255, truncated."""
-    if hsl is not None:
-        light, sat = lightness_saturation(image)
-        kept = 1 - np.clip(sat / max(hsl[1], 1e-6), 0, 1)
-        return (np.clip((light if bright else 1 - light) * kept, 0, 1) * 255).astype(np.uint8)
-    if color is not None:
-        return np.clip(255 - np.abs(image.astype(np.int16) - np.array(color, np.int16)).max(-1), 0, 255).astype(np.uint8)
-    gray = image @ np.array(LUMA, np.float32)
-    return np.clip(gray if bright else 255 - gray, 0, 255).astype(np.uint8)
+    return Ink(hsl[0] if hsl else 128, bright, hsl[1] if hsl else None, color).soft(image)
 
 
 def find_lines(mask: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -90,22 +105,53 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     return sorted((x0, y0, x1 - x0, y1 - y0, ink) for x0, y0, x1, y1, ink in merged.values())
 
 
+def sources(target: int, old: int, new: int, first: int) -> np.ndarray:
+    """For each place of one axis of the target, the source's index that stands there; ``old``, one past the end, where there is none."""
+    at = np.arange(target) - first
+    return np.where((at >= 0) & (at < new), at * old // new, old)
+
+
+def fitted(size: int, scale: float) -> int:
+    return max(1, round(size * scale))
+
+
 def resample(glyph: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Nearest neighbour by floor(i * old / new)."""
-    h, w = glyph.shape
-    return glyph[np.ix_(np.arange(height) * h // height, np.arange(width) * w // width)]
-
-
-def normalize_glyph(mask: np.ndarray, target: int = TARGET, baseline: float | None = None, scale: float | None = None, row: float = 18.0) -> np.ndarray:
-    """Ink fitted into the target with its aspect kept, centred or put on a baseline; 0 or 255."""
-    h, w = mask.shape
-    scale = min(target * 0.8 / max(h, 1), target * 0.8 / max(w, 1)) if scale is None else min(scale, target / max(h, 1), target / max(w, 1))
-    nh, nw = max(1, round(h * scale)), max(1, round(w * scale))
-    y = (target - nh) // 2 if baseline is None else min(max(round(row - baseline * scale), 0), target - nh)
-    x = (target - nw) // 2
-    out = np.zeros((target, target), np.uint8)
-    out[y : y + nh, x : x + nw] = resample(mask, nh, nw).astype(np.uint8) * 255
-    return out
+    """Nearest neighbour."""
+    return glyph[np.ix_(sources(height, glyph.shape[0], height, 0), sources(width, glyph.shape[1], width, 0))]
+
+
+def normalize_glyph(glyph: np.ndarray, target: int = TARGET, baseline: float | None = None, scale: float | None = None, row: float = 18.0) -> np.ndarray:
+    """Ink fitted into the target with its aspect kept, centred or put on a baseline; a mask gives 0 or 255, a soft glyph keeps its strengths.
+
+    Each axis of the target is mapped to the source once, and the glyph, with a blank row and column behind it, is looked up through both maps.
+    """
+    high, wide = glyph.shape
+    if not high or not wide:
+        return np.zeros((target, target), np.uint8)
+    room = target * (0.8 if scale is None else 1.0) / max(high, wide)
+    scale = room if scale is None else min(scale, room)
+    size = fitted(high, scale), fitted(wide, scale)
+    top, left = ((target - n) // 2 for n in size)
+    if baseline is not None:
+        top = int(np.clip(round(row - baseline * scale), 0, target - size[0]))
+    ink = glyph.astype(np.uint8) * 255 if glyph.dtype == bool else glyph
+    return np.pad(ink, ((0, 1), (0, 1)))[np.ix_(sources(target, high, size[0], top), sources(target, wide, size[1], left))]
+
+
+@dataclass(frozen=True)
+class Script:
+    """Heights, widths and baseline of a font's full-width characters, over the em."""
+
+    height: float = 1.0
+    width: float = 1.0
+    baseline: float = 0.0
+
+
+def glyph_frame(w: int, h: int, script: Script, target: int = TARGET) -> tuple[float, float]:
+    """(distance of the baseline from the box's top, scale). Only a square and wide box hangs below the baseline."""
+    em = max(h / script.height, w / script.width, 1.0)
+    hangs = 4 * w >= 3 * h and w >= 0.83 * em
+    return h - (script.baseline * em if hangs else 0.0), target * 0.8 / max(w, h, 1)
 
 
 def conv3x3(x: np.ndarray, w: np.ndarray, b: np.ndarray, stride: int = 1, depthwise: bool = False) -> np.ndarray:
@@ -144,6 +190,40 @@ def glyphs_of_images(images: DataFrame, threshold: float = 128) -> DataFrame:
     return images.mapInPandas(run, "image_id long, comp int, x int, y int, w int, h int, ink int, glyph binary")
 
 
+def soft_glyphs_of_images(images: DataFrame, ink: Ink = Ink(), script: Script | None = None, target: int = TARGET) -> DataFrame:
+    """(image_id, comp, x, y, w, h, glyph): components of the hard mask with the strengths of the soft one, on a baseline if a script is given."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                image = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3)
+                soft = ink.soft(image)
+                for k, (x, y, w, h, _) in enumerate(components(ink.hard(image))):
+                    baseline, scale = glyph_frame(w, h, script, target) if script else (None, None)
+                    rows.append((r.image_id, k, x, y, w, h, normalize_glyph(soft[y : y + h, x : x + w], target, baseline, scale).tobytes()))
+            yield pd.DataFrame(rows, columns=["image_id", "comp", "x", "y", "w", "h", "glyph"])
+
+    return images.mapInPandas(run, "image_id long, comp int, x int, y int, w int, h int, glyph binary")
+
+
+def masks_of_lines(images: DataFrame, ink: Ink = Ink()) -> DataFrame:
+    """(line_id, component, x, y, w, h, mask): all ink of an image as one component, for ``merges.expand_atoms``; images without ink are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                mask = ink.hard(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3))
+                ys, xs = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+                if len(xs):
+                    own = mask[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1]
+                    rows.append((r.image_id, 0, int(xs[0]), int(ys[0]), own.shape[1], own.shape[0], own.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["line_id", "component", "x", "y", "w", "h", "mask"])
+
+    return images.mapInPandas(run, "line_id long, component int, x int, y int, w int, h int, mask binary")
+
+
 def masks_of_images(images: DataFrame, threshold: float = 128) -> DataFrame:
     """(image_id, ink, soft_sum) of each image's hard and soft foreground."""
 

@@ -20,4 +20,4 @@ def register(sql: str | None = None) -> Callable:
     return add
 
 
-from . import lattice_queries, lexicon_queries, probability_queries, ranking_queries, segmentation_queries, tracker_queries, vision_queries  # noqa: E402, F401
+from . import decoder_queries, evidence_queries, frame_queries, lattice_queries, lexicon_queries, probability_queries, ranking_queries, segmentation_queries, tracker_queries, vision_queries  # noqa: E402, F401

@@ -61,13 +61,16 @@ def test_prefer(spark, terms, conf, alts, out):
     assert resolve.dispatch(own, lists.lexicon_from_terms(spark, "t", terms), ["prefer"]).first().resolved == out
 
 
-def test_associate():
-    full = lambda s, c=1.0: [{x: 0.5 + 0.5 * c} for x in s]
-    assert resolve.associate("AB", full("AB"), ["AB", "ABC"])[:3] == ("AB", 0, 2)
-    assert resolve.associate("A*B", full("A*B"), ["AB"])[0] == "AB"
-    assert resolve.associate("ABC", full("ABC"), ["ABCD", "ABCE"]) is None
-    assert resolve.associate("XY", full("XY"), ["AB"]) is None
-    assert resolve.associate("A8", [{"A": 1.0}, {"8": 1.0, "B": 0.85}], ["AB"])[0] == "AB"
+def test_associate(spark):
+    """Pinned readings: whole, with a dropped character, unclear between two, unknown, and by an alternative."""
+    cases = [("AB", ["A", "B"], ["AB", "ABC"], "AB"), ("A*B", ["A", "*", "B"], ["AB"], "AB"), ("ABC", ["A", "B", "C"], ["ABCD", "ABCE"], None), ("XY", ["X", "Y"], ["AB"], None), ("A8", ["A", "8B"], ["AB"], "AB")]
+    for text, alts, terms, term in cases:
+        own = spark.createDataFrame([(1, text, [{"ch": a[0], "conf": 1.0, "alts": list(a)} for a in alts])], "text_id long, text string, chars array<struct<ch:string,conf:double,alts:array<string>>>")
+        found = resolve.assoc_match(own, lists.lexicon_from_terms(spark, "t", terms)).collect()
+        assert [r.term for r in found] == ([term] if term else []), text
+        if text == "AB":
+            assert (found[0].span_start, found[0].span_end) == (0, 2)
+
 
 
 def test_scalar_functions(spark):
