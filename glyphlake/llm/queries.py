@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fixity, jaccard, line_chunks, naming, packing, pii, secrets, token_counts, toxicity
 from .common import table
 
-TOKENIZERS = "/opt/tokenizers"
+MODEL, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,7 +23,7 @@ def query(f: Callable) -> Callable:
 
 
 @query
-def op1_token_counts(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+def op1_token_counts(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model)
 
 
@@ -50,7 +51,7 @@ FROM placed WHERE page_id % 211 = 7 OR (page_id % 97 = 5 AND html[1] <> '#')
 
 @query
 def op3_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest_columns(pii.sanitise_spans(table(spark, sf_dir, "documents")))
+    return pii.digest_columns(pii.sanitise_documents(table(spark, sf_dir, "documents")))
 
 
 @query
@@ -94,7 +95,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 @query
-def op6_harmonic_packing(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str, tokenizer: str = WORDS) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer)
 
 
