@@ -1,11 +1,14 @@
 """Harmonic packing of token ids into sequences.
 
-Lengths fall into reciprocal-capacity classes: class k holds pieces of capacity / k tokens, and each of its bins takes
-exactly k of them. The classes used are the powers of two, whose reciprocals divide the capacity, so a full bin has no padding. A
-document is cut into whole sequences and then, by the binary digits of what is left, into one piece for each class it
-needs, longest first. Every task fills the bins of each class on its own, with counters only: nothing is shuffled, and
-a document of any length streams through. Bins that are still open at the end of a task are closed in groups of 2^j pieces, whose
-length is a power of two and so needs no padding either.
+A document is cut into whole sequences and a tail. Tails fall into reciprocal-capacity classes: class k holds those of more than
+capacity / (k + 1) and at most capacity / k tokens, and each of its bins takes exactly k of them; tails of at most capacity / ``CLASSES``
+tokens make the last class. A bin that has its k tails is short of the capacity by less than one more of its class would need. This
+gap is closed by the first tokens of the next document, or by whole documents if they fit, so a document is cut at most once to close a gap, and once more where
+its tail begins, besides its whole sequences. Every task fills the bins of each class on its own: nothing is shuffled, a document of any length streams through, and at most
+``CLASSES`` bins are open, a few hundred tails of one task in all.
+
+At the end of a task the tails of bins that are not full are laid one after another into sequences, cut at the capacity, and the last
+few tokens are cut into powers of two, which need no padding. So no task pads anything.
 
 Defined results: a null or empty text is the one end id; repeated rows are packed each; a null doc_id stays null; an
 empty table gives no pieces; other columns are ignored.
@@ -20,12 +23,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, raw_texts, small_batches
+from .common import id_and_text, raw_texts, release, small_batches
 
 CAPACITY = 4096
+CLASSES = 32
 END_ID = 2
 #: Words whose ids a task remembers. The memory is emptied when full, which changes no result.
-WORDS_HELD = 700_000
+WORDS_HELD = 500_000
 #: Longer runs without a space are encoded each time.
 LONGEST_HELD = 64
 #: New words handed to the tokenizer at a time.
@@ -49,6 +53,7 @@ class WordIds:
         self.between = next(t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special).content
         self.between_id = self.tokenizer.token_to_id(self.between)
         self.held: dict[bytes, bytes] = {}
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.points = {p: self.plain(p.decode()) for p in (b".", b",")}
 
     def plain(self, text: str) -> bytes:
@@ -85,8 +90,14 @@ class WordIds:
         return found
 
     def of(self, raw: bytes) -> bytes:
-        """ASCII letters are lowered first, as the tokenizer would; only ASCII white space parts words here."""
-        words = raw.lower().split()
+        """ASCII letters are lowered first, as the tokenizer would; only ASCII white space parts words here.
+
+        A word that holds a special token in any case stays as it is, since only the exact case is special.
+        """
+        low = raw.lower()
+        words = low.split()
+        if any(x in low for x in self.special):
+            words = [own if any(x in w for x in self.special) else w for own, w in zip(raw.split(), words, strict=True)]
         held = self.held
         new = set(words).difference(held)  # looks up each word; a key view would be walked whole
         if new:
@@ -111,42 +122,67 @@ def word_ids(path: str) -> WordIds:
     return _IDS[path]
 
 
-def cuts(total: int, capacity: int) -> Iterator[int]:
-    """Lengths of a document's pieces: whole sequences, then the binary digits of the rest."""
-    yield from [capacity] * (total // capacity)
-    rest, size = total % capacity, capacity >> 1
-    while rest:
-        if rest >= size:
-            yield size
-            rest -= size
-        size >>= 1
+def class_of(tail: int, capacity: int) -> int:
+    """k, if the tail has more than capacity / (k + 1) and at most capacity / k tokens; CLASSES for all shorter ones."""
+    return min(CLASSES, capacity // tail)
 
 
 class Bins:
-    """The open bin of each class of one task. A bin is handed out when it holds its number of pieces."""
+    """The bins of one task. A piece is (document, start, its ids); ``placed`` collects rows of pieces with sequence and offset."""
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
-        self.open: dict[int, list[tuple]] = {}
-
-    def close(self, size: int, pieces: list[tuple]) -> list[tuple]:
-        sequence, self.next_id = self.next_id, self.next_id + 1
-        return [(*p, sequence, i * size) for i, p in enumerate(pieces)]
-
-    def add(self, size: int, piece: tuple) -> list[tuple]:
-        pieces = self.open.setdefault(size, [])
-        pieces.append(piece)
-        if len(pieces) * size < self.capacity:
-            return []
-        return self.close(size, self.open.pop(size))
-
-    def rest(self) -> Iterator[tuple]:
-        for size, pieces in sorted(self.open.items()):
-            at = 0
-            while at < len(pieces):
-                n = 1 << ((len(pieces) - at).bit_length() - 1)
-                yield from self.close(size, pieces[at : at + n])
-                at += n
+        self.open: dict[int, list[tuple]] = {}  # by class: tails that wait for the others of their bin
+        self.gap: list[tuple] = []  # a bin that has its tails and isn't full
+        self.room = 0  # in it
+        self.placed: list[tuple] = []
+
+    def close(self, pieces: list[tuple]) -> None:
+        """A sequence of these pieces."""
+        at = 0
+        for doc, start, ids in pieces:
+            self.placed.append((doc[0], start, len(ids) // 4, zlib.crc32(ids), doc[1], self.next_id, at))
+            at += len(ids) // 4
+        self.next_id += 1
+
+    def add(self, doc_id: int | None, ids: memoryview) -> None:
+        capacity, total, at = self.capacity, len(ids) // 4, 0
+        doc = (doc_id, total)
+        if self.room:
+            at = min(self.room, total)
+            self.gap.append((doc, 0, bytes(ids[: 4 * at])))
+            self.room -= at
+            if not self.room:
+                self.close(self.gap)
+        while total - at >= capacity:
+            self.close([(doc, at, ids[4 * at : 4 * (at + capacity)])])
+            at += capacity
+        if at < total:
+            k = class_of(total - at, capacity)
+            held = self.open.setdefault(k, [])
+            held.append((doc, at, bytes(ids[4 * at :])))
+            if len(held) == k:
+                self.gap = self.open.pop(k)
+                self.room = capacity - sum(len(ids) // 4 for _, _, ids in self.gap)
+                if not self.room:
+                    self.close(self.gap)
+
+    def rest(self) -> None:
+        """What is left at the end of the task, in whole sequences and then powers of two."""
+        pieces = [*(self.gap if self.room else ()), *(p for k in sorted(self.open) for p in self.open[k])]
+        full, last = divmod(sum(len(ids) // 4 for _, _, ids in pieces), self.capacity)
+        sizes = [self.capacity] * full + [1 << k for k in range(last.bit_length() - 1, -1, -1) if last >> k & 1]
+        pieces.reverse()
+        for size in sizes:
+            own = []
+            while size:
+                doc, start, ids = pieces.pop()
+                n = min(size, len(ids) // 4)
+                own.append((doc, start, ids[: 4 * n]))
+                size -= n
+                if 4 * n < len(ids):
+                    pieces.append((doc, start + n, ids[4 * n :]))
+            self.close(own)
 
 
 def _pack(tokenizer: str, capacity: int, end_id: int):
@@ -156,19 +192,18 @@ def _pack(tokenizer: str, capacity: int, end_id: int):
         ids = word_ids(tokenizer)
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
 
-        def rows(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 7)], schema=ARROW)
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (zip(*bins.placed, strict=True) if bins.placed else [[]] * 7)], schema=ARROW)
+            bins.placed.clear()
+            return out
 
         for batch in small_batches(batches):
-            out: list[tuple] = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                own = memoryview(ids.of(raw) + end)
-                total, start = len(own) // 4, 0
-                for size in cuts(total, capacity):
-                    out += bins.add(size, (doc_id, start, size, zlib.crc32(own[4 * start : 4 * (start + size)]), total))
-                    start += size
-            yield rows(out)
-        yield rows(list(bins.rest()))
+                bins.add(doc_id, memoryview(ids.of(raw) + end))
+            yield rows()
+        bins.rest()
+        yield rows()
+        release()
 
     return run
 
@@ -176,8 +211,8 @@ def _pack(tokenizer: str, capacity: int, end_id: int):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: its document, place in it, checksum of its ids, and its sequence and offset there.
 
-    ``tokenizer`` is the path of a tokenizer file that every executor has. ``capacity`` is a power of two.
+    ``tokenizer`` is the path of a tokenizer file that every executor has.
     """
-    if capacity < 1 or capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
     return id_and_text(docs, id_col, text_col).mapInArrow(_pack(tokenizer, capacity, end_id), SCHEMA)

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter as Counts
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models
 
-from glyphlake.llm.packing import CAPACITY, WordIds, cuts, pack
+from glyphlake.llm.packing import CAPACITY, Bins, WordIds, class_of, pack
 from glyphlake.llm.token_counts import SPACE, Counter, count_tokens, read_pieces
 
 MODEL, WORDS = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/word_bpe_49k.json"
@@ -70,7 +71,7 @@ def check_pack(spark, rows, capacity):
         for p in s.itertuples():
             assert p.offset == at
             at += p.length
-        assert at <= capacity and at & (at - 1) == 0  # no padding
+        assert at == capacity or at < capacity and at & (at - 1) == 0  # no padding
     return out
 
 
@@ -86,13 +87,46 @@ def test_pack_round_trip(spark):
     check_pack(spark, rows, CAPACITY)
     assert pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).collect() == []
     with pytest.raises(ValueError):
-        pack(spark.createDataFrame([], "doc_id long, text string"), WORDS, 100)
+        pack(spark.createDataFrame([], "doc_id long, text string"), WORDS, 0)
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 64, 100])
+def test_bins(capacity):
+    """Each class's bins hold their number of tails; a document has at most one piece for a gap, its whole sequences and a tail, but for the end of the task."""
+    r = random.Random(capacity)
+    bins, sizes = Bins(capacity, 5), [r.choice([1, 2, 3, r.randrange(1, 3 * capacity + 1)]) for _ in range(900)]
+    for i, n in enumerate(sizes):
+        bins.add(i, memoryview(np.arange(n, dtype="<u4").tobytes()))
+    before = len(bins.placed)
+    bins.rest()
+    last = {p[0] for p in bins.placed[before:]}
+    tails = {}
+    for i, start, n, crc, total, sequence, _ in bins.placed:
+        assert total == sizes[i] and crc == zlib.crc32(np.arange(start, start + n, dtype="<u4").tobytes())
+        if start + n == total and n < capacity and i not in last and start:
+            tails.setdefault(sequence, []).append(n)
+    assert all(len({class_of(n, capacity) for n in x}) == 1 for x in tails.values())
+    pieces = Counts(p[0] for p in bins.placed)
+    assert sum(p[2] for p in bins.placed) == sum(sizes)
+    assert all(pieces[i] <= 2 + n // capacity for i, n in enumerate(sizes) if i not in last)
+    assert len(last) <= 32 * 33
+    assert [class_of(n, 64) for n in (64, 33, 32, 22, 21, 2, 1)] == [1, 1, 2, 2, 3, 32, 32]
+
+
+WORD_PARTS = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "a<|STARTOFTEXT|>", "<|", "|>", "Foo", "BAR.", "é", "É,", "1", " ", "\n"]
 
 
-def test_cuts():
-    for n in range(1, 300):
-        sizes = list(cuts(n, 64))
-        assert sum(sizes) == n and all(64 % s == 0 for s in sizes) and sizes == sorted(sizes, reverse=True)
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(WORD_PARTS), max_size=10))
+def test_special_tokens_in_any_case(word_ids, parts):
+    ids, whole = word_ids
+    text = "".join(parts)
+    assert np.frombuffer(ids.of(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def word_ids():
+    return WordIds(WORDS), Tokenizer.from_file(WORDS)
 
 
 def test_token_counts_edge_rows(spark):
