@@ -41,7 +41,7 @@ class Engine:
         """(text_id, text, chars) of each image: components from left to right, each with its nearest classes."""
         charset = self.charset if allowed is None else self.charset.where(F.instr(F.lit(allowed), F.col("ch")) > 0)
         glyphs = glyph_bits(vision.glyphs_of_images(images, self.threshold)).withColumn("glyph_id", F.struct("image_id", "comp"))
-        pairs = distance.wide_distances(glyphs, self.prototypes.join(charset, "char_id", "left_semi"))
+        pairs = distance.class_minimum(glyphs, self.prototypes.join(charset, "char_id", "left_semi"))
         ranked = distance.per_class_topk(pairs, TOP_K, vision.TARGET**2).join(charset, "char_id")
         each = ranked.groupBy("glyph_id").agg(F.sort_array(F.collect_list(F.struct("rank", "ch", "score"))).alias("best"))
         char = F.struct(F.col("best")[0]["ch"].alias("ch"), F.col("best")[0]["score"].alias("conf"), F.transform("best", lambda b: b["ch"]).alias("alts"))

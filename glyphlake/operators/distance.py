@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import dot
-
 #: The coarse filter's tolerance of ink.
 INK_SHARE, INK_EXTRA = 0.2, 3
-#: Prototypes up to this many rows may be broadcast; more are joined by bands of ink, by shuffle.
-BROADCAST_PROTOTYPES = 500_000
+#: Prototypes are sent in parts of at most so many rows.
+BROADCAST_PROTOTYPES = 100_000
+#: Words, or products, that a kernel holds at a time; and the width of a band of ink.
+AT_ONCE = 2_000_000
+BAND = 8
 
 
 def pack_bits(values: Column) -> Column:
@@ -22,66 +27,118 @@ def with_bits(df: DataFrame, values: str) -> DataFrame:
     return df.withColumn("bits", pack_bits(F.col(values))).withColumn("ink", F.bit_count("bits"))
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_PROTOTYPES) -> DataFrame:
-    """Hint a broadcast only where the table has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def chunks(table: DataFrame, order: list[str], rows: int) -> Iterator[pa.Table]:
+    """A table in parts of a checked size: in one if it has at most ``rows`` rows, else by the hash of its key."""
+    size = table.limit(rows + 1).count()
+    if size <= rows:
+        yield table.toArrow()
+        return
+    parts = -(-2 * table.count() // rows)
+    place = F.pmod(F.xxhash64(*order), F.lit(parts))
+    for k in range(parts):
+        part = table.where(place == k)
+        if part.limit(rows + 1).count() > rows:
+            raise ValueError("a key of the table has more rows than may be sent")
+        yield part.toArrow()
+
+
+def by_class(table: pa.Table, values: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, first row of each, prototype of each row, values as a matrix) in order of class and prototype."""
+    table = table.sort_by([("char_id", "ascending")] + ([("proto_id", "ascending")] if "proto_id" in table.column_names else []))
+    char = table.column("char_id").to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], char[1:] != char[:-1]))) if len(char) else np.zeros(0, dtype=np.int64)
+    return char[first], first, table.column("proto_id").to_numpy() if "proto_id" in table.column_names else np.zeros(len(char), dtype=np.int64), matrix(table.column(values).combine_chunks())
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of numbers, or of arrays of one size, with a row for each of its rows."""
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False)[:, None]
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1), dtype=flat.dtype)
+
+
+def class_minimum(glyphs: DataFrame, prototypes: DataFrame, rows: int = BROADCAST_PROTOTYPES) -> DataFrame:
+    """(glyph_id, char_id, distance, proto_id): the nearest prototype of each class, of equal ones the first.
+
+    Prototypes go to the tasks in parts of a checked size, sorted by class; one kernel compares a batch of glyphs with all of a part at
+    once and keeps the least of each class, so no pair ever becomes a row. ``bits`` is one 64-bit word or an array of them.
+    """
+    kind = glyphs.schema["glyph_id"].dataType.simpleString()
+    own, out = glyphs.select("glyph_id", "bits"), None
+    for part in chunks(prototypes.select("char_id", "proto_id", "bits"), ["char_id", "proto_id"], rows):
+        shared = glyphs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            classes, first, proto, words = by_class(shared.value, "bits")
+            words = words.view(np.uint64)
+            for batch in batches:
+                step = max(1, AT_ONCE // max(1, words.size))
+                for at in range(0, batch.num_rows if len(classes) else 0, step):
+                    some = batch.slice(at, step)
+                    mine = matrix(some.column(1)).view(np.uint64)
+                    apart = sum(np.bitwise_count(mine[:, k, None] ^ words[None, :, k]).astype(np.int64) for k in range(words.shape[1]))
+                    least = np.minimum.reduceat(apart * len(proto) + np.arange(len(proto)), first, axis=1)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(np.repeat(np.arange(some.num_rows), len(classes)))), pa.array(np.tile(classes, some.num_rows), pa.int64()), pa.array((least // len(proto)).ravel(), pa.int64()), pa.array(proto[least % len(proto)].ravel(), pa.int64())], names=["glyph_id", "char_id", "distance", "proto_id"])
+
+        one = own.mapInArrow(run, f"glyph_id {kind}, char_id long, distance long, proto_id long")
+        out = one if out is None else out.unionByName(one)
+    return fold(out)
+
+
+def fold(pairs: DataFrame) -> DataFrame:
+    """The least distance of each glyph and class."""
+    return pairs.groupBy("glyph_id", "char_id").agg(F.min(F.struct("distance", "proto_id")).alias("b")).select("glyph_id", "char_id", "b.distance", "b.proto_id")
 
 
-def distances(glyphs: DataFrame, prototypes: DataFrame, coarse: bool = False) -> DataFrame:
-    """(glyph_id, char_id, proto_id, distance) of pairs; ``coarse`` keeps those of similar ink only."""
+def coarse_pairs(glyphs: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """(glyph_id, char_id, proto_id, distance) of pairs of similar ink: the range as an equi-join on bands, a glyph reaching those about its own."""
     g = glyphs.select("glyph_id", F.col("bits").alias("g_bits"), F.col("ink").alias("g_ink"))
     p = prototypes.select("proto_id", "char_id", F.col("bits").alias("p_bits"), F.col("ink").alias("p_ink"))
-    near = F.abs(F.col("g_ink") - F.col("p_ink")) <= F.floor(INK_SHARE * F.col("g_ink")) + INK_EXTRA
-    if coarse:
-        # The range predicate as an equi-join on bands of ink: a glyph reaches the bands about its own.
-        width = 8
-        reach = F.floor(INK_SHARE * F.col("g_ink")).cast("int") + INK_EXTRA
-        g = g.withColumn("band", F.explode(F.sequence(F.floor((F.col("g_ink") - reach) / width), F.floor((F.col("g_ink") + reach) / width))))
-        both = g.join(checked_broadcast(p.withColumn("band", F.floor(F.col("p_ink") / width))), "band").where(near)
-    else:
-        both = g.join(checked_broadcast(p))
-    return both.select("glyph_id", "char_id", "proto_id", F.bit_count(F.col("g_bits").bitwiseXOR(F.col("p_bits"))).alias("distance"))
-
-
-def wide_distances(glyphs: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """Like ``distances`` for bits held as arrays of 64-bit words. Equal glyphs are compared once."""
-    kinds = glyphs.select(F.col("bits").alias("g_bits")).distinct()
-    p = checked_broadcast(prototypes.select("proto_id", "char_id", F.col("bits").alias("p_bits")))
-    apart = F.aggregate(F.zip_with("g_bits", "p_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    best = kinds.join(p).groupBy("g_bits", "char_id").agg(F.min(F.struct(apart.alias("distance"), "proto_id")).alias("b"))
-    return glyphs.select("glyph_id", F.col("bits").alias("g_bits")).join(best, "g_bits").select("glyph_id", "char_id", "b.proto_id", "b.distance")
-
-
-def nearest(pairs: DataFrame) -> DataFrame:
-    """The nearest prototype of each glyph, ties by class and prototype: a pre-aggregated minimum."""
-    best = pairs.groupBy("glyph_id").agg(F.min(F.struct("distance", "char_id", "proto_id")).alias("b"))
-    return best.select("glyph_id", "b.char_id", "b.proto_id", "b.distance")
+    reach = F.floor(INK_SHARE * F.col("g_ink")).cast("int") + INK_EXTRA
+    g = g.withColumn("band", F.explode(F.sequence(F.floor((F.col("g_ink") - reach) / BAND), F.floor((F.col("g_ink") + reach) / BAND))))
+    both = g.join(p.withColumn("band", F.floor(F.col("p_ink") / BAND)), "band").where(F.abs(F.col("g_ink") - F.col("p_ink")) <= reach)
+    return both.select("glyph_id", "char_id", "proto_id", F.bit_count(F.col("g_bits").bitwiseXOR(F.col("p_bits"))).cast("long").alias("distance"))
 
 
-def class_minimum(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("glyph_id", "char_id").agg(F.min(F.struct("distance", "proto_id")).alias("b")).select("glyph_id", "char_id", "b.distance", "b.proto_id")
+def nearest(best: DataFrame) -> DataFrame:
+    """The nearest prototype of each glyph, ties by class and prototype: a pre-aggregated minimum."""
+    first = best.groupBy("glyph_id").agg(F.min(F.struct("distance", "char_id", "proto_id")).alias("b"))
+    return first.select("glyph_id", "b.char_id", "b.proto_id", "b.distance")
 
 
-def per_class_topk(pairs: DataFrame, k: int, size: int) -> DataFrame:
-    """The k classes of smallest distance, with score 1 - distance / size and margin to the next."""
+def per_class_topk(best: DataFrame, k: int, size: int) -> DataFrame:
+    """The k classes of smallest distance, with score 1 - distance / size and margin to the next. ``best``: a row for each glyph and class."""
     w = Window.partitionBy("glyph_id").orderBy("distance", "char_id")
-    best = class_minimum(pairs).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
-    best = best.withColumn("score", 1 - F.col("distance") / float(size)).withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    return best.where(F.col("rank") <= k)
-
-
-def moments(df: DataFrame, values: str, prefix: str) -> DataFrame:
-    """Add a vector's size, sum and sum of squares, each one fold."""
-    total = lambda f: F.aggregate(values, F.lit(0.0), lambda s, x: s + f(x))
-    return df.withColumns({f"{prefix}_1": total(lambda x: x), f"{prefix}_2": total(lambda x: x * x), f"{prefix}_n": F.size(values)})
-
-
-def ncc_best(glyphs: DataFrame, bank: DataFrame) -> DataFrame:
-    """Largest correlation of each glyph with each class of the bank, 0 at least."""
-    g = moments(glyphs.select("glyph_id", F.col("vec").alias("g")), "g", "g")
-    b = checked_broadcast(moments(bank.select("char_id", F.col("vec").alias("b")), "b", "b"))
-    n = F.col("g_n")
-    shared = dot(F.col("g"), F.col("b")) - F.col("g_1") * F.col("b_1") / n
-    norm = F.sqrt((F.col("g_2") - F.col("g_1") ** 2 / n) * (F.col("b_2") - F.col("b_1") ** 2 / n))
-    score = F.when(norm > 0, shared / norm).otherwise(0.0)
-    return g.join(b).groupBy("glyph_id", "char_id").agg(F.greatest(F.lit(0.0), F.max(score)).alias("ncc"))
+    own = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)
+    own = own.withColumn("score", 1 - F.col("distance") / float(size)).withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0)))
+    return own.where(F.col("rank") <= k)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows less their mean, of length 1; a flat row is 0."""
+    centred = rows - rows.mean(1, keepdims=True)
+    norm = np.sqrt((centred * centred).sum(1, keepdims=True))
+    return np.divide(centred, norm, out=np.zeros_like(centred), where=norm > 0)
+
+
+def ncc_best(glyphs: DataFrame, bank: DataFrame, rows: int = BROADCAST_PROTOTYPES) -> DataFrame:
+    """(glyph_id, char_id, ncc): largest correlation of each glyph with each class of the bank, 0 at least; a matrix product for each batch and part."""
+    kind = glyphs.schema["glyph_id"].dataType.simpleString()
+    own, out = glyphs.select("glyph_id", "vec"), None
+    for part in chunks(bank.select("char_id", "vec"), ["char_id", "vec"], rows):
+        shared = glyphs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            classes, first, _, vectors = by_class(shared.value, "vec")
+            vectors = unit(vectors.astype(np.float64))
+            for batch in batches:
+                step = max(1, AT_ONCE // max(1, len(vectors)))
+                for at in range(0, batch.num_rows if len(classes) else 0, step):
+                    some = batch.slice(at, step)
+                    best = np.maximum.reduceat(unit(matrix(some.column(1)).astype(np.float64)) @ vectors.T, first, axis=1)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(np.repeat(np.arange(some.num_rows), len(classes)))), pa.array(np.tile(classes, some.num_rows), pa.int64()), pa.array(np.maximum(best, 0.0).ravel())], names=["glyph_id", "char_id", "ncc"])
+
+        one = own.mapInArrow(run, f"glyph_id {kind}, char_id long, ncc double")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("glyph_id", "char_id").agg(F.max("ncc").alias("ncc"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Runs of equal neighbours: (key, run, value, length)."""
@@ -23,26 +25,23 @@ def line_groups(df: DataFrame, key: str, position: str, gap: float, least: float
 
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, component) by smallest reachable node. Labels jump through their own labels, so a chain takes log rounds.
+    """(node, component) by smallest reachable node. Labels jump through their own labels, so a chain takes log rounds; raises if the rounds don't suffice.
 
-    Each round is checkpointed reliably where a checkpoint folder is set, which keeps plans short and survives lost executors.
+    Each round is a written table, which keeps plans short and survives lost executors.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    context = edges.sparkSession.sparkContext
-    keep = (lambda d: d.checkpoint()) if context._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
-    both = keep(both)
-    labels = keep(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")))
+    both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    labels = written(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         least = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = least.alias("l").join(least.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
-        after = keep(jump.select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
-        changed = after.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
+        after = written(jump.select("node", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        changed = not after.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
         labels = after
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def ordered_atoms(df: DataFrame, line: str, order: list[str]) -> DataFrame:

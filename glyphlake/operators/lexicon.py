@@ -40,7 +40,7 @@ def union_lexicons(parts: list[DataFrame], domain: str) -> DataFrame:
 def charset(df: DataFrame, text_col: str, by: list[str] | None = None) -> DataFrame:
     """Distinct non-space characters in code-point order, as one string for each group."""
     by = by or []
-    chars = df.select(*by, F.explode(characters(normalize_text(F.col(text_col)))).alias("ch")).distinct()
+    chars = df.select(*by, F.explode(F.array_distinct(characters(normalize_text(F.col(text_col))))).alias("ch")).distinct()
     return chars.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("ch")), "").alias("charset"), F.count("*").alias("n"))
 
 
@@ -55,17 +55,27 @@ def small_enough(lexicon: DataFrame) -> bool:
     return found.n <= BROADCAST_TERMS and (found.most or 0) <= LONGEST_TERM
 
 
+def rarest(df: DataFrame, text_col: str, frequency: DataFrame) -> DataFrame:
+    """Add ``ch``, the character of the text that the fewest terms hold; null if one of them is in no term. ``frequency`` (ch, n) is bounded by the charset."""
+    known = frequency.agg(F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias("_df"))
+    own = df.join(F.broadcast(known))  # one row
+    each = F.transform(F.array_distinct(characters(F.col(text_col))), lambda c: F.struct(F.coalesce(F.col("_df")[c], F.lit(0).cast("long")).alias("n"), c.alias("c")))
+    least = F.array_min(each)
+    return own.withColumn("ch", F.when(least["n"] > 0, least["c"])).drop("_df")
+
+
 def candidate_pairs(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Text-term pairs that may match: every match shares the text's or the term's first character.
+    """Text-term pairs that may match, by an equi-join on the rarest character.
 
-    A text inside or spread over a term has its first character in the term; a term inside a text has its own in the text. So the theta
-    join becomes an equi-join on characters, and a small lexicon is broadcast for it.
+    All characters of a text inside or spread over a term are in the term, its rarest too; a longer text holds the rarest character of a term inside it.
+    A small lexicon is broadcast; else the join is a shuffle on characters.
     """
-    lex = char_index(lexicon)
+    index = char_index(lexicon)
+    frequency = index.groupBy("ch").agg(F.count("*").alias("n"))
     send = F.broadcast if small_enough(lexicon) else (lambda x: x)
-    inside = texts.withColumn("ch", F.substring("text", 1, 1)).join(send(lex), "ch").drop("ch")
-    firsts = lexicon.select(F.substring("term", 1, 1).alias("ch"), "term")
-    around = texts.withColumn("ch", F.explode(F.array_distinct(characters(F.col("text"))))).join(send(firsts), "ch").drop("ch")
+    inside = rarest(texts, "text", frequency).where("ch is not null").join(send(index), "ch").drop("ch")
+    rare = rarest(lexicon.select("term"), "term", frequency)
+    around = texts.withColumn("ch", F.explode(F.array_distinct(characters(F.col("text"))))).join(send(rare), "ch").drop("ch")
     around = around.where(F.length("text") > F.length("term"))
     return inside.where(F.length("text") <= F.length("term")).unionByName(around)
 

@@ -9,6 +9,8 @@ from ..functions.text import characters
 
 #: Fixed values.
 LEXICON_FLOOR, UNIGRAM_FLOOR, CHAR_PRIOR_BASE = -6.0, -8.0, 0.35
+#: Ranges that rows are ranked in, a square; and rows that their bounds are taken from.
+RANGES, BOUNDS_FROM = 256, 4096
 
 
 def log_softmax(logits: DataFrame, key: str = "glyph_id", value: str = "logit") -> DataFrame:
@@ -59,19 +61,42 @@ def open_set_options(logits: DataFrame, temperature: float, background: float, k
     return log_softmax(best.unionByName(open_)).select("glyph_id", "char_id", "log_p")
 
 
+def spread(df: DataFrame, *order: str) -> DataFrame:
+    """Add ``_range``: 0 to RANGES - 1 by the order's columns, of about equal size.
+
+    Bounds come from at most BOUNDS_FROM rows of smallest hash; they decide how even the ranges are, never a result. A row finds its range by two short looks.
+    """
+    rows = sorted(tuple(r) for r in df.select(*order).dropna().distinct().orderBy(F.xxhash64(*order), *order).limit(BOUNDS_FROM).collect())
+    bounds = [rows[len(rows) * k // RANGES] for k in range(1, RANGES)] if rows else []
+    if not bounds:
+        return df.withColumn("_range", F.lit(0))
+    step = int(RANGES**0.5)
+    literal = lambda b: F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b, strict=True)))
+    own = F.struct(*order)
+    below = lambda some: F.size(F.filter(some, lambda b: b <= own))
+    fine = F.array(*(F.array(*map(literal, bounds[at : at + step - 1])) for at in range(0, RANGES, step)))
+    coarse = F.array(*map(literal, bounds[step - 1 :: step]))
+    return df.withColumn("_c", below(coarse)).withColumn("_range", F.col("_c") * step + below(F.element_at(fine, F.col("_c") + 1))).drop("_c")
+
+
+def counted_ranges(own: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _range, _before, _n): rows before each range and in all, at most RANGES rows a key."""
+    per = own.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("_range") if keys else Window.orderBy("_range")
+    before = F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return per.select(*keys, "_range", before.alias("_before"), whole.alias("_n"))
+
+
 def equal_mass_bins(df: DataFrame, value: str, tie: str, bins: int) -> DataFrame:
     """Add ``bin`` of equal mass by value: ((i + 1) b - 1) div n of the row's rank i, with b = min(bins, n).
 
-    Ranks are global without one task seeing all rows: rows are counted by value first, values are few against rows, and
-    within a value the tie decides.
+    Ranks are global without one task seeing all rows: rows are ranked within ranges of value and tie, after the rows of the ranges before.
     """
-    steps = df.groupBy(value).agg(F.count("*").alias("_c"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).select(value, "_before")
-    total = df.agg(F.count("*").alias("_n"))
-    out = df.join(steps, value).join(F.broadcast(total)).withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy(value).orderBy(tie)) - 1)  # one row
+    own = spread(df, value, tie)
+    out = own.join(F.broadcast(counted_ranges(own, [])), "_range").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(value, tie)) - 1)  # at most RANGES rows
     b = F.least(F.lit(bins), F.col("_n"))
-    return out.withColumn("bin", F.floor(((F.col("_i") + 1) * b - 1) / F.col("_n"))).drop("_before", "_i")
+    return out.withColumn("bin", F.floor(((F.col("_i") + 1) * b - 1) / F.col("_n"))).drop("_before", "_i", "_range")
 
 
 def calibration_metrics(df: DataFrame, bins: int = 10, confidence: str = "confidence", correct: str = "correct", tie: str = "id") -> DataFrame:
@@ -82,10 +107,12 @@ def calibration_metrics(df: DataFrame, bins: int = 10, confidence: str = "confid
 
 
 def fit_calibration(df: DataFrame, bins: int, confidence: str = "confidence", correct: str = "correct", tie: str = "id") -> DataFrame:
-    """Points of a monotone calibration: bin means, Laplace-smoothed hits, running maximum; (0,0) and (1,1) at the ends."""
+    """Points of a monotone calibration: bin means, Laplace-smoothed hits, running maximum; (0,0) before the first bin and (1,1) after the last."""
     own = equal_mass_bins(df.withColumn("_hit", F.col(correct).cast("double")), confidence, tie, bins)
     per = own.groupBy("bin").agg(F.avg(confidence).alias("x"), ((F.sum("_hit") + 1) / (F.count("*") + 2)).alias("raw"))
-    return per.withColumn("y", F.max("raw").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).select("bin", "x", "y")
+    ends = per.agg(F.array(F.struct(F.lit(-1).cast("long").alias("bin"), F.lit(0.0).alias("x"), F.lit(0.0).alias("raw")), F.struct((F.coalesce(F.max("bin"), F.lit(-1)) + 1).alias("bin"), F.lit(1.0).alias("x"), F.lit(1.0).alias("raw"))).alias("e"))
+    points = per.unionByName(ends.select(F.explode("e").alias("e")).select("e.*"))  # a row for each bin
+    return points.withColumn("y", F.max("raw").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).select("bin", "x", "y")
 
 
 def grouped_split(sessions: DataFrame, key: str, test: float = 0.2, val: float = 0.15) -> DataFrame:
@@ -100,13 +127,23 @@ def grouped_split(sessions: DataFrame, key: str, test: float = 0.2, val: float =
 
 
 def median_p95(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Median, the ceil(.95 n)-th value and the value at index int(.95 n)."""
-    n = F.count("*")
-    own = df.groupBy(key).agg(F.median(value).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95_ceil"), n.alias("_n"))
-    rank = Window.partitionBy(key).orderBy(value)
-    at = df.select(key, value, F.row_number().over(rank).alias("_i")).join(own.select(key, "_n"), key)
-    at = at.where(F.col("_i") == F.floor(F.lit(0.95) * F.col("_n")) + 1).select(key, F.col(value).alias("p95_index"))
-    return own.join(at, key).select(key, "median", "p95_ceil", "p95_index")
+    """Median, the ceil(.95 n)-th value and the value at index int(.95 n).
+
+    A key may hold most rows: its values are counted, ranges of them are added up, and only the ranges that hold a wanted rank are put in order.
+    """
+    counts = spread(df.where(F.col(value).isNotNull()), value).groupBy(key, "_range", value).agg(F.count("*").alias("_m"))
+    per = counts.groupBy(key, "_range").agg(F.sum("_m").alias("_c"))
+    line = Window.partitionBy(key).orderBy("_range")
+    per = per.withColumns({"_before": F.sum("_c").over(line) - F.col("_c"), "_n": F.sum("_c").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    n = F.col("_n")
+    wanted = {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1, "p95_ceil": F.ceil(F.lit(0.95) * n), "p95_index": F.floor(F.lit(0.95) * n) + 1}
+    inside = lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_c"))
+    ranks = F.filter(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("at")) for k, r in wanted.items())), lambda x: inside(x["at"]))
+    few = per.withColumn("_w", ranks).where(F.size("_w") > 0).select(key, "_range", "_before", "_w")
+    placed = counts.join(few, [key, "_range"]).withColumn("_end", F.col("_before") + F.sum("_m").over(Window.partitionBy(key, "_range").orderBy(value)))
+    hit = placed.withColumn("w", F.explode("_w")).where((F.col("w.at") <= F.col("_end")) & (F.col("w.at") > F.col("_end") - F.col("_m")))
+    got = lambda k: F.max(F.when(F.col("w.name") == k, F.col(value)))
+    return hit.groupBy(key).agg(((got("low") + got("high")) / 2).alias("median"), got("p95_ceil").alias("p95_ceil"), got("p95_index").alias("p95_index"))
 
 
 def marginalize(scores: DataFrame, keys: list[str], use_max: bool = False) -> DataFrame:

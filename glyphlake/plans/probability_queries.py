@@ -65,7 +65,7 @@ def calibration_metrics(spark, sf_dir):
 
 
 @register(f"""
-WITH {PREDICTIONS_SQL}, {BINS_SQL.format(b=6)}, per AS (SELECT bin, avg(confidence) AS x, (sum(hit) + 1) / (count(*) + 2) AS raw FROM binned GROUP BY bin)
+WITH {PREDICTIONS_SQL}, {BINS_SQL.format(b=6)}, per AS (SELECT bin, avg(confidence) AS x, (sum(hit) + 1) / (count(*) + 2) AS raw FROM binned GROUP BY bin UNION ALL SELECT -1, 0, 0 UNION ALL SELECT max(bin) + 1, 1, 1 FROM binned)
 SELECT bin::BIGINT AS bin, round(x, 9) AS x, round(max(raw) OVER (ORDER BY bin), 9) AS y FROM per""")
 def fit_monotone_calibration(spark, sf_dir):
     return pr.fit_calibration(predictions(spark, sf_dir), 6).select("bin", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))

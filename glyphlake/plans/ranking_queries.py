@@ -60,7 +60,7 @@ def crossover_pick(spark, sf_dir):
 
 @register(f"WITH {BITS_SQL} SELECT glyph_id, char_id, proto_id, distance::BIGINT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY glyph_id ORDER BY distance, char_id, proto_id) AS rn FROM dist) WHERE rn = 1")
 def hamming_nearest(spark, sf_dir):
-    return ds.nearest(ds.distances(*glyph_bits(spark, sf_dir))).withColumn("distance", F.col("distance").cast("long"))
+    return ds.nearest(ds.class_minimum(*glyph_bits(spark, sf_dir)))
 
 
 @register(f"""
@@ -68,7 +68,7 @@ WITH {BITS_SQL}, least AS (SELECT glyph_id, char_id, min(distance) AS distance F
 ranked AS (SELECT *, row_number() OVER w AS rank, lead(distance) OVER w AS nxt FROM least WINDOW w AS (PARTITION BY glyph_id ORDER BY distance, char_id))
 SELECT glyph_id, char_id, distance::BIGINT AS distance, rank, round(1 - distance / 64.0, 9)::DOUBLE AS score, round(CASE WHEN nxt IS NULL THEN 1 - distance / 64.0 ELSE (nxt - distance) / 64.0 END, 9)::DOUBLE AS margin FROM ranked WHERE rank <= 3""")
 def per_class_topk(spark, sf_dir):
-    best = ds.per_class_topk(ds.distances(*glyph_bits(spark, sf_dir)), 3, 64)
+    best = ds.per_class_topk(ds.class_minimum(*glyph_bits(spark, sf_dir)), 3, 64)
     return best.select("glyph_id", "char_id", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), F.round("margin", 9).alias("margin"))
 
 
@@ -78,8 +78,8 @@ every AS (SELECT glyph_id, min(distance) AS d FROM dist GROUP BY 1)
 SELECT glyph_id, coalesce(n, 0) AS n_coarse, (coalesce(near.d, -1) = every.d) AS same_best FROM every LEFT JOIN near USING (glyph_id)""")
 def coarse_filter_equivalence(spark, sf_dir):
     glyphs, protos = glyph_bits(spark, sf_dir)
-    near = ds.distances(glyphs, protos, coarse=True).groupBy("glyph_id").agg(F.count("*").alias("n"), F.min("distance").alias("near"))
-    every = ds.distances(glyphs, protos).groupBy("glyph_id").agg(F.min("distance").alias("d"))
+    near = ds.coarse_pairs(glyphs, protos).groupBy("glyph_id").agg(F.count("*").alias("n"), F.min("distance").alias("near"))
+    every = ds.class_minimum(glyphs, protos).groupBy("glyph_id").agg(F.min("distance").alias("d"))
     return every.join(near, "glyph_id", "left").select("glyph_id", F.coalesce("n", F.lit(0)).alias("n_coarse"), (F.coalesce("near", F.lit(-1)) == F.col("d")).alias("same_best"))
 
 

@@ -118,14 +118,14 @@ def decoder_comparison(spark, sf_dir):
 
 
 @register(f"""
-WITH {LOGITS_SQL}, s AS (SELECT glyph_id AS sample_id, char_id, 1 / (1 + exp(-logit * 4)) AS cnn, ((glyph_id * 13 + char_id * 29) % 100) / 100.0 AS template, -0.01 * (char_id % 5) AS geometry, (SELECT label FROM embeddings e WHERE e.vec_id = glyph_id) AS truth FROM logits WHERE char_id < 10),
+WITH {LOGITS_SQL}, s AS (SELECT glyph_id AS sample_id, char_id, 1 / (1 + exp(-logit * 4)) AS cnn, ((glyph_id * 13 + char_id * 29) % 100) / 100.0 AS template, -0.01 * (char_id % 5) AS geometry, (SELECT label FROM embeddings e WHERE e.vec_id = glyph_id) AS truth FROM logits),
 grid AS (SELECT c.v AS w_cnn, t.v AS w_template, g.v AS w_geometry FROM (VALUES (0.30), (0.45), (0.60)) AS c(v), (VALUES (0.60), (0.45), (0.30)) AS t(v), (VALUES (0.05), (0.10), (0.20)) AS g(v) WHERE c.v + t.v <= 0.9),
 w AS (SELECT w_cnn, w_template, w_geometry, sample_id, char_id, truth, round(least(1, greatest(0, w_cnn * cnn + w_template * template + w_geometry * geometry)), 9) AS score FROM s, grid),
 b AS (SELECT *, row_number() OVER (PARTITION BY w_cnn, w_template, w_geometry, sample_id ORDER BY score DESC, char_id) AS rn FROM w)
 SELECT w_cnn::DOUBLE AS w_cnn, w_template::DOUBLE AS w_template, w_geometry::DOUBLE AS w_geometry, round(avg((char_id = truth)::INT), 9) AS accuracy, round(avg(score) FILTER (char_id = truth), 6) AS mean_score FROM b WHERE rn = 1 GROUP BY 1, 2, 3""")
 def weight_grid(spark, sf_dir):
     truth = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("truth"))
-    own = logits(spark, sf_dir).where("char_id < 10").select(F.col("glyph_id").alias("sample_id"), "char_id", (1 / (1 + F.exp(-F.col("logit") * 4))).alias("cnn"), (((F.col("glyph_id") * 13 + F.col("char_id") * 29) % 100) / 100.0).alias("template"), (-0.01 * (F.col("char_id") % 5)).alias("geometry"))
+    own = logits(spark, sf_dir).select(F.col("glyph_id").alias("sample_id"), "char_id", (1 / (1 + F.exp(-F.col("logit") * 4))).alias("cnn"), (((F.col("glyph_id") * 13 + F.col("char_id") * 29) % 100) / 100.0).alias("template"), (-0.01 * (F.col("char_id") % 5)).alias("geometry"))
     return evaluate.weight_grid(own.join(truth, "sample_id"), [0.30, 0.45, 0.60], [0.60, 0.45, 0.30], [0.05, 0.10, 0.20])
 
 

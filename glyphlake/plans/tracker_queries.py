@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..streaming import tracker
+from ..session import shared_dir
 from .carriers import frames, table
 from .catalogue import register
 
@@ -54,8 +55,8 @@ SELECT key, c.seq, changed, c.text, CASE WHEN total >= 3 AND n / total >= 0.6 TH
 def tracker_stream(spark, sf_dir):
     """The events as a stream, in one available-now run; the result is read back from its sink."""
     schema = table(spark, sf_dir, "events").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/glyphlake"
-    place = f"{base.rstrip('/')}/tracker-{uuid.uuid4().hex}"
+    base = shared_dir(spark)
+    place = f"{base}/tracker-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     own = source.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.concat("event_type", "props").alias("signature"), F.col("event_type").alias("text"))
     query = tracker.track_stream(own).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
