@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import characters
-from ..operators import lexicon_decode, merges, vision
+from .. import lines
+from ..engine import glyph_bits
+from ..operators import glyphs, lexicon_decode, merges, vision
+from ..operators.segmentation import Bounds
 from .carriers import crops, part_lexicon
 from .catalogue import register
 from .vision_queries import images
@@ -42,3 +45,21 @@ def expand_atoms(spark, sf_dir):
     """Each order's bars side by side as one component, cut at the blank columns between them."""
     whole = vision.masks_of_lines(images(spark, sf_dir))
     return merges.expand_atoms(whole).select("line_id", "atom_idx", "component", "x", "y", "w", "h", "ink", "pieces")
+
+
+@register()
+def character_glyphs(spark, sf_dir):
+    """Each bar of an order as a character: components, fragments put together, normalised."""
+    out = glyphs.character_glyphs(images(spark, sf_dir), bounds=Bounds(height_least=2, width_least=2))
+    return out.select("image_id", "line", "idx", "x", "y", "w", "h", F.sha2("glyph", 256).alias("glyph_sha256"))
+
+
+@register()
+def line_readings(spark, sf_dir):
+    """Bars read as the letter of their height: whole lines through the lattice, with the first image of each height as the prototypes."""
+    drawn = images(spark, sf_dir)
+    single = glyphs.character_glyphs(drawn, bounds=Bounds(height_least=2, width_least=2)).groupBy("w", "h").agg(F.min("glyph").alias("glyph"))
+    named = single.select((F.col("w") * 100 + F.col("h")).cast("long").alias("char_id"), F.lit(0).alias("proto_id"), "glyph")
+    charset = named.select("char_id", F.char(F.col("char_id") % 26 + 65).alias("ch"))
+    reading = lines.Reading(bounds=Bounds(height_least=2, width_least=2), longest=2)
+    return lines.read_lines(drawn, glyph_bits(named).drop("glyph"), charset, reading=reading).select("image_id", "line", "text", F.round("score", 6).alias("score"))
