@@ -15,15 +15,16 @@ def texts(seed=2):
     return [(i, r.choice(base)) for i in range(160)] + [(7, "x" * 64), (7, "x" * 64), (None, "x" * 64), (None, None), (900, "long " * 3000), (901, "long " * 3000)]
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_exact_groups_equal_brute_force(spark, tmp_path, monkeypatch, hot):
-    """Small blocks make many levels; with a low bound every repeated block takes the hot path."""
-    if hot:
+@pytest.mark.parametrize("case", ["plain", "hot", "clash"])
+def test_exact_groups_equal_brute_force(spark, tmp_path, monkeypatch, case):
+    """Small blocks make many levels; with a low bound every repeated text takes the hot path; with a weak hash, contents share it."""
+    if case == "hot":
         monkeypatch.setattr(naming, "LEAST_HOT", 1)
+    weak = (lambda *c: F.xxhash64(*c) % 5) if case == "clash" else F.xxhash64
     rows = texts()
     spark.createDataFrame([(*x, "e") for x in rows], "doc_id long, text string, h string").repartition(3).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    out = naming.exact_groups(docs, block=8)
+    out = naming.exact_groups(docs, block=8, hashed=weak)
     assert not any(w in out._jdf.queryExecution().executedPlan().toString() for w in PLAN_WORDS)
     got = [tuple(r) for r in out.collect()]
     groups = {}
@@ -36,6 +37,10 @@ def test_exact_groups_equal_brute_force(spark, tmp_path, monkeypatch, hot):
         keep = max((i for i in ids if i is not None), default=None)
         assert sorted(map(str, (g[0] for g in mine))) == sorted(map(str, ids))
         assert {(g[1], g[2]) for g in mine} == {(keep, len(ids))} and [g[0] for g in mine if g[3]] == [keep]
+    named = docs.withColumns({"keep_n": F.lit(6), "keep_sha": F.col("text"), "row": F.lit("own"), "doc": F.lit(2)})
+    named.write.parquet(str(tmp_path / "n"))
+    left = naming.keep_one(spark.read.parquet(str(tmp_path / "n")))
+    assert left.columns == named.columns and {(r.keep_n, r.row, r.doc) for r in left.collect()} == {(6, "own", 2)} and all(r.keep_sha == r.text for r in left.collect())
     kept = naming.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.text or "" for r in kept.collect()) == sorted(groups)
     assert naming.exact_groups(docs.limit(0)).collect() == []
@@ -62,10 +67,11 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_line_chunks_equal_brute_force(spark, tmp_path, monkeypatch, hot):
-    if hot:
+@pytest.mark.parametrize("case", ["plain", "hot", "clash"])
+def test_line_chunks_equal_brute_force(spark, tmp_path, monkeypatch, case):
+    if case == "hot":
         monkeypatch.setattr(naming, "LEAST_HOT", 1)
+    weak = (lambda c: F.xxhash64(c) % 3) if case == "clash" else F.xxhash64
     r = random.Random(4)
     lines = [f"line {k}" for k in range(40)]
     passages = [[r.choice(lines) for _ in range(9)] for _ in range(4)]
@@ -75,7 +81,7 @@ def test_line_chunks_equal_brute_force(spark, tmp_path, monkeypatch, hot):
         rows.append((i, "\n".join(body + r.choice(passages) + [f"own {i}", ""])))
     rows += [(100, None), (101, ""), (None, rows[0][1]), (102, "a\n" * 20_000)]
     spark.createDataFrame([(*x, "e") for x in rows], "doc_id long, text string, chunk string").coalesce(1).write.parquet(str(tmp_path / "d"))
-    out = line_chunks.deduplicate_lines(spark.read.parquet(str(tmp_path / "d")))
+    out = line_chunks.deduplicate_lines(spark.read.parquet(str(tmp_path / "d")), hashed=weak)
     assert not any(w in out._jdf.queryExecution().executedPlan().toString() for w in PLAN_WORDS)
     expect = brute_lines(rows)
     got = out.collect()
@@ -157,6 +163,16 @@ def test_fixity_finds_each_difference(spark):
     assert fixity.audit(fixity.warc_records(a), fixity.warc_records(none)).count() == len(size)
 
 
+def test_fixity_over_wide_ids(spark):
+    """The smallest and the largest id there are, long bodies, and other columns called like the operator's own."""
+    rows = [(-(2**63), "u", "a", 1, "x"), (-(2**63) + 1, "u", "b", 1, "x"), (-1, "u", "c", 1, "x"), (0, "u", "d", 1, "x"), (2**63 - 1, "u", "e" * 3_000_000, 1, "x"), (None, "u", "f", 1, "x")]
+    make = lambda x: fixity.warc_records(spark.createDataFrame(x, "page_id long, url string, html string, slot int, hash string"))
+    other = [(i, u, "!" if i in (0, 2**63 - 1) else t, n, h) for i, u, t, n, h in rows if i != -(2**63) and i is not None]
+    out = {r.id: r for r in fixity.audit(make(rows), make(other), fanout=256).collect()}
+    assert {i: r.status for i, r in out.items()} == {None: "missing", -(2**63): "missing", 0: "corrupt", 2**63 - 1: "corrupt"}
+    assert out[2**63 - 1].expected_bytes > 3_000_000 and out[None].offset == 0 and out[0].offset == sum(len(r.record) for r in make([x for x in rows if x[0] is None or x[0] < 0]).collect())
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_fixity_ends_at_the_record(spark, monkeypatch, hot):
     """One rotten record among many of an id, one copy less of another, and a lost null id; other records and order don't count."""
