@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import characters
 from .. import lines
 from ..engine import glyph_bits
-from ..operators import glyphs, lexicon_decode, merges, vision
+from ..operators import domain_prior, glyphs, lexicon_decode, merges, prob_decoder, vision
 from ..operators.segmentation import Bounds
 from .carriers import crops, part_lexicon
 from .catalogue import register
@@ -63,3 +63,21 @@ def line_readings(spark, sf_dir):
     charset = named.select("char_id", F.char(F.col("char_id") % 26 + 65).alias("ch"))
     reading = lines.Reading(bounds=Bounds(height_least=2, width_least=2), longest=2)
     return lines.read_lines(drawn, glyph_bits(named).drop("glyph"), charset, reading=reading).select("image_id", "line", "text", F.round("score", 6).alias("score"))
+
+
+@register()
+def prob_decode_lattice(spark, sf_dir):
+    """The misread terms again, under two render states, with features by rule and random weights of a fixed seed."""
+    own = options(spark, sf_dir)
+    char_id = F.ascii("char").cast("long")
+    states = F.explode(F.array(F.lit("clean"), F.lit("12_1"))).alias("state")
+    wave = lambda n, k: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sin(i * F.col("visual") * 7 + F.col("start") + char_id * k + F.length("state")))
+    features = own.select("*", states, char_id.alias("char_id")).select("line_id", "state", "start", "end", "rank", "char_id", wave(26, 3).alias("f_visual"), wave(9, 5).alias("f_geometry"))
+    spans = own.groupBy("line_id", "start", "end").agg(F.max("visual").alias("visual"))
+    edge = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: F.cos(i * F.col("visual") + F.col("start")))
+    boundaries = spans.select("line_id", "start", "end", edge.alias("f_boundary"), (F.col("end") - F.col("start") > 1).alias("anomalous"))
+    charset = own.select(char_id.alias("char_id"), F.col("char").alias("ch")).distinct()
+    config = prob_decoder.random_config(7, alpha=0.9, beta=0.5, k=4)
+    scored = prob_decoder.option_scores(features, boundaries, domain_prior.lexicon_prior(charset, part_lexicon(spark, sf_dir)), config)
+    out = prob_decoder.decode_lattice(scored, charset, config)
+    return out.select("line_id", "text", "path", F.round("normalised", 6).alias("normalised"), F.round("confidence", 6).alias("confidence"), "state", "searched")
