@@ -4,8 +4,8 @@ Each task builds suffix arrays over shards of its own documents and looks every
 an interval of the array is all places where the window stands verbatim. Documents are never shuffled: a document lies
 whole in one shard, so its answer is complete where it is read. Only suffixes that begin a run of benchmark words long
 enough for a window are kept in an array, since no other suffix can match. The array is sorted by as many words as the longest
-window has, which decides every lookup; longer verbatim matches are chains of windows: their union marks the words, and where places are asked for, windows that follow
-one another in document and item alike are chained into longest matches.
+window has, which decides every lookup; longer verbatim matches are chains of windows that follow one another in document and item alike: their union marks the words, and the longest of
+them is returned with its place in both. All longest matches are returned on request.
 
 The benchmark goes to the tasks as blocks of at most ``BLOCK_CHARS`` characters (one item at least). One block is the
 usual case; further blocks run one after another over the same rows, each adding to the words already hit.
@@ -34,10 +34,14 @@ SHARD_WORDS = 500_000
 #: Every byte outside 0-9, a-z and the non-ASCII range ends a word.
 SPACES = bytes(32 if b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) else b for b in range(256))
 
-FIELDS = {"doc_id": ("long", pa.int64()), "text": ("string", pa.string()), "n_words": ("long", pa.int64()), "n_hit": ("long", pa.int64()), "hits": ("binary", pa.binary()), "items": ("array<string>", pa.list_(pa.string()))}
+FIELDS = {"doc_id": ("long", pa.int64()), "text": ("string", pa.string()), "n_words": ("long", pa.int64()), "n_hit": ("long", pa.int64()), "hits": ("binary", pa.binary()), "items": ("array<string>", pa.list_(pa.string())), "longest": ("struct<length:int,doc_start:int,item:string,item_start:int>", pa.struct([("length", pa.int32()), ("doc_start", pa.int32()), ("item", pa.string()), ("item_start", pa.int32())]))}
 MATCH = ("array<struct<doc_start:int,item:string,item_start:int,length:int>>", pa.list_(pa.struct([("doc_start", pa.int32()), ("item", pa.string()), ("item_start", pa.int32()), ("length", pa.int32())])))
 
 
+#: Columns of the longest match in the report: without one it has no words, no item, and places of -1.
+LONGEST = [("length", "longest", 0, "long"), ("doc_start", "longest_start", -1, "long"), ("item", "longest_item", "", "string"), ("item_start", "longest_item_start", -1, "long")]
+
+
 def words_of(raw: bytes) -> list[bytes]:
     """Lower-cased words of a UTF-8 text: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+."""
     return raw.lower().translate(SPACES).split()
@@ -46,11 +50,12 @@ def words_of(raw: bytes) -> list[bytes]:
 class Windows:
     """The windows of a block of items, as integer words packed into fixed-width keys that compare as sequences."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, places_too: bool = False):
+    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, places_too: bool = True):
         self.vocabulary: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[int]] = {}
         places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         self.texts: list[int] = []
+        spans: list[int] = []
         self.items = sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(self.items)}
         for item, raw in items:
@@ -62,10 +67,14 @@ class Windows:
                     if places_too:
                         places.setdefault(key, []).append((len(self.texts), at))
                 self.texts.append(k)  # the item of each text: an id may have several
+                spans.append(len(ids))
         self.window = window
         self.windows = sorted(owners)
         self.owners = [np.array(sorted(owners[w])) for w in self.windows]
         self.places = [np.array(places[w]) for w in self.windows] if places_too else None
+        # Places as one number each; texts stand apart, so that neighbours are places of one text.
+        self.base = np.cumsum([0, *(s + 1 for s in spans)])
+        self.lines = [np.sort(self.base[p[:, 0]] + p[:, 1]) for p in self.places] if places_too else None
         self.sizes = np.array([len(w) for w in self.windows], dtype=np.int64)
         self.least = int(self.sizes.min()) if self.windows else 0
         bits = max(1, len(self.vocabulary).bit_length())
@@ -120,8 +129,55 @@ def chains(found: list[tuple[np.ndarray, np.ndarray, int]], begin: np.ndarray, w
         yield d, {"doc_start": int(at[a] - begin[d]), "item": windows.items[windows.texts[text[a]]], "item_start": int(place[a]), "length": int(at[b] - at[a] + size[a])}
 
 
-def shard_hits(docs: list[list[int]], windows: Windows) -> tuple[list[np.ndarray], list[list[int]], list[list[dict]]]:
-    """For each document of a shard: which of its words are hit, the numbers of the items that occur in it, and the matches if the windows have places."""
+def longest_matches(found: list[tuple[int, np.ndarray]], begin: np.ndarray, windows: Windows) -> Iterator[tuple[int, dict]]:
+    """(document, its longest match): the longest, then the first in the document, then by item and place there.
+
+    Places of a shard are walked in order. Held are only the places in the items where the window before stood, each with the start of its chain, so
+    repeated words take no more room than the items do.
+    """
+    at = np.concatenate([a for _, a in found])
+    number = np.concatenate([np.full(len(a), k) for k, a in found])
+    order = np.lexsort((number, at))
+    at, number = at[order], number[order]
+    doc = np.searchsorted(begin, at, side="right") - 1
+    held, starts, before, best = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), -2, None
+    now: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, (p, k, d) in enumerate(zip(at.tolist(), number.tolist(), doc.tolist(), strict=True)):
+        if p != before:
+            if now:
+                held, starts = (np.concatenate(x) for x in zip(*now, strict=True))
+                if len(now) > 1:
+                    by = np.argsort(held, kind="stable")
+                    held, starts = held[by], starts[by]
+                now = []
+            if p != before + 1 or (i and doc[i - 1] != d):
+                held = held[:0]
+            if i and doc[i - 1] != d:
+                yield int(doc[i - 1]), best[1]
+                best = None
+            before = p
+        lines, size = windows.lines[k], int(windows.sizes[k])
+        own = np.full(len(lines), p)
+        if len(held):
+            slot = np.minimum(np.searchsorted(held, lines - 1), len(held) - 1)
+            own = np.where(held[slot] == lines - 1, starts[slot], p)
+        now.append((lines, own))
+        first = int(own.min())
+        length = p - first + size
+        if best is None or (-length, first) <= best[0][:2]:
+            # Of the chains that begin there, the first by item and place.
+            ends = lines[own == first] - (p - first)
+            text = np.searchsorted(windows.base, ends, side="right") - 1
+            item, place = min((windows.items[windows.texts[t]], int(e - windows.base[t])) for t, e in zip(text.tolist(), ends.tolist(), strict=True))
+            key = (-length, first, item, place)
+            if best is None or key < best[0]:
+                best = key, {"length": length, "doc_start": first - int(begin[d]), "item": item, "item_start": place}
+    if best:
+        yield int(doc[-1]), best[1]
+
+
+def shard_hits(docs: list[list[int]], windows: Windows, with_matches: bool = False, with_longest: bool = False) -> tuple[list[np.ndarray], list[list[int]], list[list[dict]], list[dict | None]]:
+    """For each document of a shard: which of its words are hit, the numbers of the items that occur in it, and on request all longest matches and the longest of them."""
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
     words = np.zeros(int((sizes + 1).sum()) + windows.window, dtype=np.int64)
@@ -132,7 +188,7 @@ def shard_hits(docs: list[list[int]], windows: Windows) -> tuple[list[np.ndarray
     starts = np.flatnonzero(run >= windows.least) if windows.least else np.zeros(0, dtype=np.int64)
     marks = np.zeros(len(words) + 1, dtype=np.int32)
     pairs: set[tuple[int, int]] = set()
-    found: list[tuple[np.ndarray, np.ndarray, int]] = []
+    found: list[tuple[int, np.ndarray]] = []
     if len(starts):
         # A document's end is a stop, so words past it must not count towards a key.
         ahead = np.where(np.arange(windows.window) < run[starts][:, None], words[np.minimum(starts[:, None] + np.arange(windows.window), len(words) - 1)], 0)
@@ -147,16 +203,25 @@ def shard_hits(docs: list[list[int]], windows: Windows) -> tuple[list[np.ndarray
             np.add.at(marks, at + windows.sizes[k], -1)
             inside = np.unique(np.searchsorted(begin, at, side="right") - 1)
             pairs.update((int(d), int(i)) for d in inside for i in windows.owners[k])
-            if windows.places is not None:
-                found.append((at, windows.places[k], int(windows.sizes[k])))
+            found.append((int(k), at))
     hit = np.cumsum(marks)[:-1] > 0
     items: list[list[int]] = [[] for _ in docs]
     for d, i in pairs:
         items[d].append(i)
     matches: list[list[dict]] = [[] for _ in docs]
-    for d, m in chains(found, begin, windows) if found else ():
-        matches[d].append(m)
-    return [hit[a : a + n] for a, n in zip(begin, sizes, strict=True)], items, matches
+    if with_matches and found:
+        for d, m in chains([(at, windows.places[k], int(windows.sizes[k])) for k, at in found], begin, windows):
+            matches[d].append(m)
+    longest: list[dict | None] = [None for _ in docs]
+    if with_longest and found:
+        for d, m in longest_matches(found, begin, windows):
+            longest[d] = m
+    return [hit[a : a + n] for a, n in zip(begin, sizes, strict=True)], items, matches, longest
+
+
+def longer(a: dict | None, b: dict | None) -> dict | None:
+    """The longer of two matches, then the first in the document, then by item and place there."""
+    return min((m for m in (a, b) if m), key=lambda m: (-m["length"], m["doc_start"], m["item"], m["item_start"]), default=None)
 
 
 def _scan(block, keep_text: bool, with_matches: bool):
@@ -165,33 +230,35 @@ def _scan(block, keep_text: bool, with_matches: bool):
     arrow = pa.schema([(c, fields[c][1]) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(block.value, places_too=with_matches)
+        windows = Windows(block.value)
         get = windows.vocabulary.get
-        held: list[tuple] = []
+        held: list[dict] = []
 
         def flush() -> pa.RecordBatch:
-            found, numbers, matches = shard_hits([x[2] for x in held], windows)
-            for k, (_, _, ids, before, _, _) in enumerate(held):
-                if before:
-                    found[k] = found[k] | np.unpackbits(np.frombuffer(before, dtype=np.uint8), count=len(ids)).astype(bool)
+            ids = [x["ids"] for x in held]
+            found, numbers, matches, longest = shard_hits(ids, windows, with_matches, with_longest=True)
+            for k, x in enumerate(held):
+                if x["hits"]:
+                    found[k] = found[k] | np.unpackbits(np.frombuffer(x["hits"], dtype=np.uint8), count=len(ids[k])).astype(bool)
             out = {
-                "doc_id": [x[0] for x in held],
-                "text": [x[1] for x in held],
-                "n_words": [len(x[2]) for x in held],
+                "doc_id": [x["doc_id"] for x in held],
+                "text": [x["text"] for x in held],
+                "n_words": [len(x) for x in ids],
                 "n_hit": [int(h.sum()) for h in found],
                 "hits": [np.packbits(h).tobytes() for h in found],
-                "items": [[*x[4], *(windows.items[i] for i in own)] for x, own in zip(held, numbers, strict=True)],
-                "matches": [[*x[5], *own] for x, own in zip(held, matches, strict=True)],
+                "items": [[*(x["items"] or ()), *(windows.items[i] for i in own)] for x, own in zip(held, numbers, strict=True)],
+                "longest": [longer(x["longest"], own) for x, own in zip(held, longest, strict=True)],
+                "matches": [[*(x.get("matches") or ()), *own] for x, own in zip(held, matches, strict=True)],
             }
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(out[c], type=fields[c][1]) for c in names], schema=arrow)
 
         size = 0
         for batch in small_batches(batches):
-            earlier = batch.column(4).to_pylist() if with_matches else [None] * batch.num_rows
-            for doc_id, raw, hits, items, matches in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), earlier, strict=True):
-                held.append((doc_id, raw if keep_text else None, [get(w, 0) for w in words_of(raw)], hits, items or [], matches or []))
-                size += len(held[-1][2])
+            rest = batch.drop_columns(["text"]).to_pylist()
+            for row, raw in zip(rest, raw_texts(batch.column(1)), strict=True):
+                held.append(row | {"text": raw if keep_text else None, "ids": [get(w, 0) for w in words_of(raw)]})
+                size += len(held[-1]["ids"])
                 if size >= SHARD_WORDS:
                     yield flush()
                     size = 0
@@ -220,13 +287,13 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_chars: i
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, with_matches: bool = False) -> DataFrame:
-    """One row per document: n_words, n_hit, ``hits`` (a bit for each word) and ``items``, the ids that occur in it.
+    """One row per document: n_words, n_hit, ``hits`` (a bit for each word), ``items``, the ids that occur in it, and ``longest``, its longest match with the places in both, in words.
 
-    With ``matches`` on request: every longest match of a window's length or more, with its place in document and item, in words.
+    With ``matches`` on request: every longest match of a window's length or more. An item that repeats its own windows matches a place once for each.
     """
     context = docs.sparkSession.sparkContext
-    rows = id_and_text(docs, id_col, text_col).withColumns({"hits": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")} | ({"matches": F.lit(None).cast(MATCH[0])} if with_matches else {}))
-    carried = ["doc_id", "text", "hits", "items", *(["matches"] if with_matches else [])]
+    rows = id_and_text(docs, id_col, text_col).withColumns({"hits": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>"), "longest": F.lit(None).cast(FIELDS["longest"][0])} | ({"matches": F.lit(None).cast(MATCH[0])} if with_matches else {}))
+    carried = ["doc_id", "text", "hits", "items", "longest", *(["matches"] if with_matches else [])]
     blocks = blocks_of(benchmark, item_col, item_text_col, block_chars)
     block = next(blocks, [])
     while True:
@@ -239,10 +306,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns, and the longest match."""
     items = F.array_sort(F.array_distinct("items"))
     found = find_contamination(docs, benchmark, **columns)
-    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *(F.coalesce(F.col(f"longest.{c}"), F.lit(none)).cast(kind).alias(name) for c, name, none, kind in LONGEST))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -252,7 +319,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         shared = context.broadcast(block)
 
         def kernel(shared=shared):
-            windows = Windows(shared.value)
+            windows = Windows(shared.value, places_too=False)
             get = windows.vocabulary.get
 
             def keep(raws: list[bytes]) -> list[bool]:

@@ -65,9 +65,10 @@ WITH item_words AS (
     SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
     FROM benchmark WHERE item_id IS NOT NULL)
   WHERE len(w) > 0),
-windows AS (
-  SELECT DISTINCT item_id, array_to_string(w[p : p + 9], ' ') AS win, least(len(w), 10) AS size
-  FROM item_words, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS t(p)),
+placed AS (
+  SELECT text_no, item_id, p AS ip, array_to_string(w[p : p + 9], ' ') AS win, least(len(w), 10) AS size
+  FROM (SELECT *, row_number() OVER () AS text_no FROM item_words), unnest(range(1, greatest(1, len(w) - 9) + 1)) AS t(p)),
+windows AS (SELECT DISTINCT item_id, win, size FROM placed),
 doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
@@ -76,10 +77,14 @@ places AS (
   FROM doc_words, (SELECT DISTINCT size FROM windows) AS s, unnest(range(1, len(w) - size + 2)) AS t(p)),
 found AS (SELECT doc_id, p, size, item_id FROM places JOIN windows USING (win, size)),
 hit AS (SELECT doc_id, count(DISTINCT p + i) AS n_hit FROM found, unnest(range(0, size)) AS t(i) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id),
+pairs AS (SELECT doc_id, p, size, text_no, item_id::VARCHAR AS item, ip, p - row_number() OVER (PARTITION BY doc_id, text_no, p - ip ORDER BY p) AS run FROM places JOIN placed USING (win, size)),
+chains AS (SELECT doc_id, min(p) - 1 AS a, item, min(ip) - 1 AS b, max(p) - min(p) + any_value(size) AS n FROM pairs GROUP BY doc_id, text_no, item, p - ip, run),
+longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, a, item, b) AS rn FROM chains) WHERE rn = 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n, 0)::BIGINT AS longest, coalesce(a, -1)::BIGINT AS longest_start, coalesce(item, '') AS longest_item, coalesce(b, -1)::BIGINT AS longest_item_start
+FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 

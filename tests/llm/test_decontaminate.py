@@ -1,7 +1,11 @@
 import random
 import re
 
+import duckdb
+import pandas as pd
+
 from glyphlake.llm.decontaminate import contamination_report, find_contamination
+from glyphlake.llm.queries import ORACLE
 
 
 def words(text):
@@ -73,11 +77,28 @@ def test_longest_matches_equal_brute_force(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for size in (10**7, 150):
         got = find_contamination(d, b, block_chars=size, with_matches=True).collect()
-        assert sorted(((r.doc_id, sorted(map(tuple, r.matches))) for r in got), key=str) == brute_matches(docs, items)
+        expect = brute_matches(docs, items)
+        assert sorted(((r.doc_id, sorted(map(tuple, r.matches))) for r in got), key=str) == expect
+        best = [(i, min(((-n, p, item, q) for p, item, q, n in own), default=None)) for i, own in expect]
+        assert sorted(((r.doc_id, (-r.longest.length, r.longest.doc_start, r.longest["item"], r.longest.item_start) if r.longest else None) for r in got), key=str) == sorted(best, key=str)
     own = {r.doc_id: [tuple(m) for m in r.matches] for r in got}
     assert own[600] == [(1, "90", 1, 40)] and sorted(own[601]) == [(1, "90", 1, 20), (22, "90", 22, 19)]
 
 
+def test_report_equals_its_sql(spark):
+    """Longest matches too, with ties and repeated words."""
+    docs, items = fixture()
+    docs = [(i, t) for i, t in docs if i not in (None, 501)] + [(700, "the the the " * 9), (701, "of the of the " * 30)]
+    items = [*items, (91, "the " * 14), (92, "of the " * 12)]
+    own, bench = pd.DataFrame(docs, columns=["doc_id", "text"]), pd.DataFrame(items, columns=["item_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", own)
+    con.register("benchmark", bench)
+    expect = con.execute(ORACLE["op4_benchmark_decontamination"]).fetchall()
+    got = contamination_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(str, expect)) == sorted(str(tuple(r)) for r in got.collect())
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
