@@ -1,7 +1,11 @@
 """A corpus in five stages: toxicity, exact and near duplicates, benchmark passages, packing.
 
 Each stage works on what its predecessor kept, written as Parquet and read again. All but the last return the columns
-of documents.
+of documents, whatever else the table holds and however its columns are called.
+
+Defined results: a null or empty text is not toxic unless the labels say so of empty texts, equals every other such text, has no near copies and no benchmark words, and is packed as
+its end id; of equal texts the row of the largest id stays, one of them if it is repeated; null ids are the smallest, and as documents of their own in near groups they all stay; empty
+tables give empty tables; texts of any length are taken whole.
 """
 
 from __future__ import annotations

@@ -47,3 +47,32 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             assert p.start == at and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
             at += p.length
         assert at == len(ids)
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and columns called as the operators' own, through every stage in turn."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "row", "doc", "keep_n", "sid", "near_gone", "hits", "term", "start"]
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    texts = [(1, None), (2, ""), (None, "alone in the text with no id"), (3, "twice the same row in here"), (3, "twice the same row in here"), (4, long), (5, long + " tail"), (6, "vile grub vile grub vile grub"), (7, "plain words of no harm at all"), (None, None), (8, " \n\t "), (9, "x" * 300_000)]
+    texts += [(20 + i, f"clean words number {i} and more of them") for i in range(30)] + [(60 + i, f"vile grub {i} vile grub here") for i in range(20)]
+    rows = [(i, t, "en", "s", 0, "own", 5, 6, 7, 8, None, "t", 9) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, doc int, keep_n int, sid long, near_gone int, hits string, term string, start int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "plain words of no"), (None, "clean"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = [(20 + i, 0) for i in range(30)] + [(60 + i, 1) for i in range(20)] + [(6, 1), (None, 1), (7, None)]
+    spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == names
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = docs.collect()
+        assert {(r.row, r.doc, r.keep_n, r.sid, r.near_gone, r.start) for r in kept[name]} == {("own", 5, 6, 7, 8, 9)}
+    ids = {name: sorted(str(r.doc_id) for r in own) for name, own in kept.items()}
+    assert "6" not in ids["toxicity"] and ids["toxicity"].count("3") == 2 and {"1", "2", "4", "5", "7", "9", "None"} <= set(ids["toxicity"])
+    assert ids["exact_dedup"].count("3") == 1 and "1" not in ids["exact_dedup"] and "2" in ids["exact_dedup"]  # of no text, the largest id
+    assert "5" not in ids["near_dedup"] and "4" in ids["near_dedup"] and "None" in ids["near_dedup"]
+    assert "7" not in ids["decontamination"] and {"2", "4", "9"} <= set(ids["decontamination"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
+    assert packed[packed.doc_id == 2].length.tolist() == [1] and packed.length.sum() == packed.drop_duplicates("doc_id").doc_tokens.sum()
