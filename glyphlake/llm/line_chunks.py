@@ -4,8 +4,9 @@ A rolling hash over the hashes of ``WINDOW`` = 2 successive lines chooses where
 boundary beyond the next line. Chunks of at least ``LEAST_LINES`` lines that stand elsewhere in the corpus too are removed, but
 for their first place by (doc_id, row, place). Chunks are brought together by a 64-bit hash and told apart by their bytes.
 
-Skew: chunks with more than ``HOT`` of all rows are at most 1 / HOT; their first places come from a pre-aggregated
-minimum that is broadcast, so no copy of them is shuffled. Texts are shuffled twice: to meet their copies and to be put together.
+Skew: the first place of a chunk is a minimum that each task finds for itself first, together with the least and the greatest bytes of the
+hash, so a chunk that a third of the corpus has is one row a task. Only if two contents share a hash are that hash's chunks told apart by their bytes.
+Places, not chunks, are then joined with the first ones (``naming.attach``); texts are moved once, to lose lines. Nothing but numbers is broadcast.
 
 A chunk's cut depends on the line before it, so this finds only a part of short repeated passages. ``deduplicate_passages`` leaves
 the chunks out and looks at every two successive lines and every long line, so it finds all passages of ``LEAST_LINES`` lines or more.
@@ -16,11 +17,11 @@ Defined results: a null or empty text is one empty line; repeated rows are told
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, id_and_text
-from .naming import attach, hot_hashes
+from .naming import attach
 
 #: A chunk begins where the rolling hash is divisible by this.
 DIVISOR = 4
@@ -35,46 +36,53 @@ def line_hash(line):
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def chunks_of(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    """One row per chunk: row number, id, place, first line, number of lines, and its lines."""
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    hashed = lines.withColumn("hashes", F.transform("lines", line_hash))
+def chunks_of(docs: DataFrame, divisor: int = DIVISOR, carried: list[str] | None = None) -> tuple[DataFrame, Column]:
+    """One row per document with the lines and the starts of its chunks, after row number and id or the carried columns; and the column of its chunks: number of lines, and the lines.
+
+    The column is to be exploded as it is: a name for it would let the optimizer test its size below the scan, hashing all lines anew for each.
+    """
+    hashed = lines_of(docs, carried).withColumn("hashes", F.transform("lines", line_hash))
     rolled = lambda i: (F.element_at("hashes", i) * MULTIPLIER + F.element_at("hashes", i + 1)) % MODULUS % divisor == 0
     starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.when(i == 0, True).otherwise(rolled(F.greatest(i, F.lit(1)))))
-    marked = hashed.select("row", "doc_id", "lines", starts.alias("starts"))
+    marked = hashed.select("row", "doc_id", *(carried or []), "lines", starts.alias("starts"))
     following = lambda k: F.coalesce(F.try_element_at("starts", k + 2), F.size("lines"))
-    chunk = lambda s, k: F.struct(k.alias("pos"), (following(k) - s).alias("n_lines"), F.array_join(F.slice("lines", s + 1, following(k) - s), "\n").alias("chunk"))
-    return marked.select("row", "doc_id", F.explode(F.transform("starts", chunk)).alias("c")).select("row", "doc_id", "c.*")
+    chunk = lambda s, k: F.struct((following(k) - s).alias("n_lines"), F.array_join(F.slice("lines", s + 1, following(k) - s), "\n").alias("chunk"))
+    return marked, F.transform("starts", chunk)
 
 
-def mark_repeats(chunks: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
-    """Add ``removed``: whether the chunk stands earlier in the corpus."""
-    single = chunks.where(F.col("n_lines") < least_lines).withColumn("removed", F.lit(False))
-    many = chunks.where(F.col("n_lines") >= least_lines).withColumn("h", F.xxhash64("chunk"))
-    hot = hot_hashes(cut(many.groupBy("h").agg(F.count("*").alias("n")), "chunk-stats"))
+def repeats(marked: DataFrame, chunks: Column, least_lines: int = LEAST_LINES, hashed=F.xxhash64) -> DataFrame:
+    """(row, gone): the places of chunks that stand earlier in the corpus."""
+    many = marked.select("row", "doc_id", F.posexplode(chunks).alias("pos", "c")).select("row", "doc_id", "pos", "c.*").where(F.col("n_lines") >= least_lines).withColumn("h", hashed("chunk"))
     place = F.struct("doc_id", "row", "pos")
-    cold = many.where(~F.col("h").isin(hot)) if hot else many
-    order = Window.partitionBy("h", "chunk").orderBy("doc_id", "row", "pos")
-    out = single.unionByName(cold.withColumn("removed", F.row_number().over(order) > 1).drop("h"))
-    if hot:
-        own = many.where(F.col("h").isin(hot))
+    groups = many.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("chunk").alias("least"), F.max("chunk").alias("most"))
+    groups = cut(groups.where("n > 1").select("h", "n", "first", (F.col("least") != F.col("most")).alias("shared")), "chunk-groups")
+    later = attach(many.select("row", "doc_id", "pos", "h"), groups.where("not shared"), ["h"], "n").where(~place.eqNullSafe(F.col("first"))).select("row", "pos")
+    if not groups.where("shared").isEmpty():
+        own = many.join(groups.where("shared").select("h"), "h", "left_semi")
         first = own.groupBy("h", "chunk").agg(F.min(place).alias("first"))
-        out = out.unionByName(own.join(F.broadcast(first), ["h", "chunk"]).withColumn("removed", ~place.eqNullSafe(F.col("first"))).drop("h", "first"))
-    return out
+        later = later.unionByName(own.join(first, ["h", "chunk"]).where(~place.eqNullSafe(F.col("first"))).select("row", "pos"))
+    return later.groupBy("row").agg(F.collect_set("pos").alias("gone"))
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, least_lines: int = LEAST_LINES, hashed=F.xxhash64) -> DataFrame:
     """One row per document: its lines and chunks, how many were removed, and the text that is left."""
-    marked = mark_repeats(chunks_of(id_and_text(docs, id_col, text_col), divisor), least_lines)
-    one = F.struct("pos", F.when(~F.col("removed"), F.col("chunk")).alias("chunk"))
-    count = lambda c: F.sum(F.when(F.col("removed"), c).otherwise(0))
-    out = marked.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_lines").alias("n_lines"), F.count("*").alias("n_chunks"), count(F.col("n_lines")).alias("n_removed_lines"), count(F.lit(1)).cast("long").alias("n_removed_chunks"), F.sort_array(F.collect_list(one)).alias("parts"))
-    text = F.array_join(F.transform(F.filter("parts", lambda x: x["chunk"].isNotNull()), lambda x: x["chunk"]), "\n")
-    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "n_chunks", F.col("n_removed_lines").cast("long").alias("n_removed_lines"), "n_removed_chunks", text.alias("text"))
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    docs = id_and_text(docs, id_col, text_col)
+    gone = cut(repeats(*chunks_of(docs, divisor), least_lines, hashed), "chunk-gone")
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = own.join(gone.hint("merge"), "row", "left")  # the same plan at every size: its list grows with the corpus
+    own, chunks = chunks_of(own, divisor, carried=["text", "gone"])
+    own = own.select("doc_id", "text", "gone", chunks.alias("chunks"))
+    lost = lambda c, k: F.array_contains("gone", k)
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.filter("chunks", lambda c, k: ~lost(c, k)), lambda c: c["chunk"]), "\n"))
+    lines = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, c: n + c["n_lines"])
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(lines(F.filter("chunks", lost)))
+    return own.select("doc_id", lines(F.col("chunks")).alias("n_lines"), F.size("chunks").cast("long").alias("n_chunks"), removed.cast("long").alias("n_removed_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_chunks"), text.alias("text"))
+
+
+def lines_of(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """The lines of each text. Rows are numbered by their place in the scan, unless they have been."""
+    own = [F.monotonically_increasing_id().alias("row"), "doc_id"] if carried is None else ["row", "doc_id", *carried]
+    return docs.select(*own, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
 
 
 def name_line(line):
