@@ -142,3 +142,25 @@ def ncc_best(glyphs: DataFrame, bank: DataFrame, rows: int = BROADCAST_PROTOTYPE
         one = own.mapInArrow(run, f"glyph_id {kind}, char_id long, ncc double")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("glyph_id", "char_id").agg(F.max("ncc").alias("ncc"))
+
+
+#: Fixed value: the way of shrinking whose prototypes stand for a clean line.
+CLEAN_MODE = 2
+
+
+def char_evidence(wanted: DataFrame, glyphs: DataFrame, prototypes: DataFrame, size: int) -> DataFrame:
+    """What templates say of single characters: best distance, score and prototype, whether any has a similar ink, and the best score of each render state.
+
+    ``wanted``: glyph_id, char_id; ``glyphs``: glyph_id, bits, ink; ``prototypes``: char_id, proto_id, render_size, mode, bits, ink. A character without prototypes has
+    the score 0. Only a character's own prototypes are looked at: an equi-join.
+    """
+    g = glyphs.select("glyph_id", F.col("bits").alias("g_bits"), F.col("ink").alias("g_ink"))
+    state = F.when(F.col("mode") == CLEAN_MODE, "clean").otherwise(F.concat_ws("_", "render_size", "mode"))
+    p = prototypes.select("char_id", "proto_id", state.alias("state"), F.col("bits").alias("p_bits"), F.col("ink").alias("p_ink"))
+    near = F.abs(F.col("g_ink") - F.col("p_ink")) <= F.floor(INK_SHARE * F.col("g_ink")) + INK_EXTRA
+    pairs = wanted.join(g, "glyph_id").join(p, "char_id").select("glyph_id", "char_id", "state", "proto_id", near.alias("near"), F.bit_count(F.col("g_bits").bitwiseXOR(F.col("p_bits"))).cast("long").alias("distance"))
+    each = pairs.groupBy("glyph_id", "char_id", "state").agg(F.min(F.struct("distance", "proto_id")).alias("b"), F.max("near").alias("near"))
+    best = each.groupBy("glyph_id", "char_id").agg(F.min("b").alias("b"), F.max("near").alias("coarse_hit"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", (1 - F.col("b.distance") / float(size)).alias("score"))))).alias("states"))
+    found = wanted.join(best, ["glyph_id", "char_id"], "left")
+    distance = F.coalesce("b.distance", F.lit(size).cast("long"))
+    return found.select("glyph_id", "char_id", distance.alias("distance"), (1 - distance / float(size)).alias("score"), F.coalesce("b.proto_id", F.lit(-1)).alias("proto_id"), F.coalesce("coarse_hit", F.lit(False)).alias("coarse_hit"), "states")

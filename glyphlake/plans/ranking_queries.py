@@ -107,3 +107,21 @@ def fuse_topk(spark, sf_dir):
     template = cnn.select("glyph_id", ((F.col("char_id") * 5 + 1) % 64).alias("char_id"), (1 / (1 + F.exp(-F.col("logit")))).alias("score"))
     out = rk.fuse(template, cnn, 0.45, 0.45)
     return out.select("glyph_id", "char_id", F.round("cnn_score", 6).alias("cnn_score"), F.round("combined", 6).alias("combined"), F.col("rank").cast("long").alias("rank"))
+
+
+@register(f"""
+WITH {BITS_SQL}, wanted AS (SELECT vec_id AS glyph_id, unnest([vec_id % 7, (vec_id + 3) % 11, 1000]) AS char_id FROM embeddings WHERE vec_id % 5 = 0),
+own AS (SELECT DISTINCT glyph_id, char_id FROM wanted),
+p AS (SELECT o.glyph_id, o.char_id, proto_id, distance, abs(g_ink - p_ink) <= floor(0.2 * g_ink) + 3 AS near, CASE WHEN proto_id % 3 = 2 THEN 'clean' ELSE (12 + proto_id % 4) || '_' || (proto_id % 3) END AS state FROM own o JOIN dist d ON d.glyph_id = o.glyph_id AND d.char_id = o.char_id),
+e AS (SELECT glyph_id, char_id, state, min(distance) AS d FROM p GROUP BY ALL), st AS (SELECT glyph_id, char_id, string_agg(state || '=' || (64 - d), ',' ORDER BY state) AS states FROM e GROUP BY ALL),
+b AS (SELECT glyph_id, char_id, min(distance) AS distance, arg_min(proto_id, distance * 1000000 + proto_id) AS proto_id, bool_or(near) AS coarse_hit FROM p GROUP BY ALL)
+SELECT glyph_id, char_id::BIGINT AS char_id, coalesce(distance, 64)::BIGINT AS distance, round(1 - coalesce(distance, 64) / 64.0, 9)::DOUBLE AS score, coalesce(proto_id, -1)::BIGINT AS proto_id, coalesce(coarse_hit, false) AS coarse_hit, coalesce(states, '') AS states
+FROM own LEFT JOIN b USING (glyph_id, char_id) LEFT JOIN st USING (glyph_id, char_id)""")
+def template_evidence(spark, sf_dir):
+    glyphs, protos = glyph_bits(spark, sf_dir)
+    own = protos.withColumns({"render_size": 12 + F.col("proto_id") % 4, "mode": F.col("proto_id") % 3})
+    i = F.col("glyph_id")
+    wanted = glyphs.select("glyph_id", F.explode(F.array((i % 7).cast("long"), ((i + 3) % 11).cast("long"), F.lit(1000).cast("long"))).alias("char_id")).distinct()
+    out = ds.char_evidence(wanted, glyphs, own, 64)
+    states = F.array_join(F.transform(F.map_entries("states"), lambda e: F.concat(e["key"], F.lit("="), F.rint(e["value"] * 64).cast("int").cast("string"))), ",")
+    return out.select("glyph_id", "char_id", "distance", F.round("score", 9).alias("score"), F.col("proto_id").cast("long").alias("proto_id"), "coarse_hit", F.coalesce(states, F.lit("")).alias("states"))
