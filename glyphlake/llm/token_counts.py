@@ -58,30 +58,35 @@ class Counter(dict):
         if pieces:
             self.automaton.make_automaton()
         self.any = bool(pieces)
+        self.longest = max(map(len, pieces), default=1)
         # A line break that is in no piece is unknown wherever it stands, so a text can be cut there.
         if any("\n" in p for p in pieces):
             raise ValueError("pieces hold no line break")
 
     def best(self, word: str) -> tuple[float, int]:
+        """Only the last places that a piece can reach back to are held, and the matches of one place, so a word of any length takes the same room."""
+        ring = self.longest + 1
+        score, count = [0.0] * ring, [0] * ring
+        found = self.automaton.iter(word) if self.any else iter(())
+        match = next(found, None)
         n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        if self.any:
-            for end, match in self.automaton.iter(word):
-                ends[end].append(match)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
+            ends = []
+            while match is not None and match[0] == end - 1:
+                ends.append(match[1])
+                match = next(found, None)
             best, pieces, first = 0.0, 0, True
-            for size, value in sorted(ends[end - 1], reverse=True):  # the earliest start first
-                total = score[end - size] + value
+            for size, value in sorted(ends, reverse=True):  # the earliest start first
+                total = score[(end - size) % ring] + value
                 if first or total > best:
-                    best, pieces, first = total, count[end - size] + 1, False
+                    best, pieces, first = total, count[(end - size) % ring] + 1, False
             char = word[end - 1]
             if char not in self.single:
-                total = score[end - 1] + self.unknown
+                total = score[(end - 1) % ring] + self.unknown
                 if first or total > best:
-                    best, pieces = total, count[end - 1] + len(char.encode("utf-8", "surrogatepass"))
-            score[end], count[end] = best, pieces
-        return score[n], count[n]
+                    best, pieces = total, count[(end - 1) % ring] + len(char.encode("utf-8", "surrogatepass"))
+            score[end % ring], count[end % ring] = best, pieces
+        return score[n % ring], count[n % ring]
 
     def __missing__(self, word: str) -> tuple[float, int]:
         found = self.best(word)
