@@ -1,3 +1,7 @@
+import math
+import re
+import zlib
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,3 +62,24 @@ def test_held_out_accuracy_and_edge_rows(spark):
     none = score_documents(d, learn(d, lab.where("toxic > 5"))).collect()
     assert {r.score for r in none} == {0.0}
     assert score_documents(d.limit(0), Model()).collect() == []
+
+
+def test_scores_equal_their_definition(spark):
+    """From the learned weights on, each document's score by the formulas, with segments by definition."""
+    docs, labels = tables(spark, 60)
+    docs = [(i, " ".join(t.split()[-18:])) if i % 2 else (i, " ".join(t.split()[30:])) for i, t in docs]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = learn(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.calibration and model.weights
+    for r in score_documents(d, model).collect():
+        scores = []
+        for w in re.findall(r"[^\W\d_]+", dict(docs)[r.doc_id].lower()):
+            known = [model.weights[f] for f in [w, *(w[:n] + "*" for n in (6, 5, 4) if len(w) > n)] if f in model.weights]
+            scores.append((max(known, key=lambda x: abs(x[1]))[0] if known else 0.0) - 0.7)
+        own, norm = brute(scores), math.log(0.1 * len(scores) + 1)
+        best = max((model.rate * s for s, _, _ in own), default=0.0) - norm
+        good = [s for s in own if model.rate * s[0] - norm > -math.log(0.01)]
+        a, b, c = model.calibration
+        score = 1 / (1 + math.exp(-(a + b * best + c * math.log1p(sum(model.rate * s - norm for s, _, _ in good)))))
+        assert abs(r.score - score) < 1e-9 and r.predicted == int(score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.segments == ",".join(f"{i}:{j}:{s:.2f}" for s, i, j in good) and r.n_segments == len(good)
