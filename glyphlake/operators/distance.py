@@ -82,8 +82,8 @@ def class_minimum(glyphs: DataFrame, prototypes: DataFrame, rows: int = BROADCAS
                     yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(np.repeat(np.arange(some.num_rows), len(classes)))), pa.array(np.tile(classes, some.num_rows), pa.int64()), pa.array((least // len(proto)).ravel(), pa.int64()), pa.array(proto[least % len(proto)].ravel(), pa.int64())], names=["glyph_id", "char_id", "distance", "proto_id"])
 
         one = own.mapInArrow(run, f"glyph_id {kind}, char_id long, distance long, proto_id long")
-        out = one if out is None else out.unionByName(one)
-    return fold(out)
+        out, many = (one, False) if out is None else (out.unionByName(one), True)
+    return fold(out) if many else out  # one part has one row for each glyph and class already
 
 
 def fold(pairs: DataFrame) -> DataFrame:
@@ -140,8 +140,8 @@ def ncc_best(glyphs: DataFrame, bank: DataFrame, rows: int = BROADCAST_PROTOTYPE
                     yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(np.repeat(np.arange(some.num_rows), len(classes)))), pa.array(np.tile(classes, some.num_rows), pa.int64()), pa.array(np.maximum(best, 0.0).ravel())], names=["glyph_id", "char_id", "ncc"])
 
         one = own.mapInArrow(run, f"glyph_id {kind}, char_id long, ncc double")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("glyph_id", "char_id").agg(F.max("ncc").alias("ncc"))
+        out, many = (one, False) if out is None else (out.unionByName(one), True)
+    return out.groupBy("glyph_id", "char_id").agg(F.max("ncc").alias("ncc")) if many else out
 
 
 #: Fixed value: the way of shrinking whose prototypes stand for a clean line.

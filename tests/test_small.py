@@ -70,3 +70,18 @@ def test_soft_sums(spark):
     assert out.ink == 1 and out.soft_sum in (199, 200)
     rows = spark.createDataFrame([(True,), (False,), (True,), (True,)], "recalled boolean")
     assert tuple(evaluate.recall_report(rows).first()) == (4, 3, 0.75)
+
+
+def test_prototypes_in_parts(spark):
+    """The nearest of each class is the same whether prototypes go in one part or in many."""
+    from glyphlake.operators import distance
+
+    rows = [(c, p, (c * 7919 + p * 104729) % (1 << 40)) for c in range(6) for p in range(9)]
+    protos = spark.createDataFrame(rows, "char_id long, proto_id long, bits long")
+    glyphs = spark.createDataFrame([(i, i * 999_983) for i in range(20)], "glyph_id long, bits long")
+    whole = sorted(map(tuple, distance.class_minimum(glyphs, protos).collect()))
+    assert whole == sorted(map(tuple, distance.class_minimum(glyphs, protos, rows=40).collect())) and len(whole) == 120
+    plain = {(i, c): min(((g ^ b).bit_count(), p) for k, p, b in rows if k == c) for i, g in [(i, i * 999_983) for i in range(20)] for c in range(6)}
+    assert {(i, c): (d, p) for i, c, d, p in whole} == plain
+    with pytest.raises(ValueError):
+        distance.class_minimum(glyphs, protos.select("char_id", F.lit(0).cast("long").alias("proto_id"), "bits"), rows=5)
