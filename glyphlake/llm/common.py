@@ -26,6 +26,8 @@ _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 ROWS = 256
 #: And bytes of text.
 BYTES = 2_000_000
+#: Bytes that Spark hands to a Python worker at a time while ``cut`` writes a table: rows may hold sets of large documents.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +100,11 @@ def filter_texts(docs: DataFrame, kernel: Callable[[], Callable[[list[bytes]], l
 def release() -> None:
     """Give what a finished task has freed back to the system: Python workers live on from task to task."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same for large arrays that are already gone, after each group of a task."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -131,7 +138,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(BATCH_BYTES))  # holds while this table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

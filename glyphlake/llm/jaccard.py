@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, id_and_text, raw_texts, release, small_batches
+from .common import cut, discard, id_and_text, raw_texts, release, small_batches, trim
 from .naming import attach
 
 N = 5
@@ -43,7 +43,7 @@ LINK = (100, 75)
 #: Shingles that a task gathers before it sends them on, the documents it gathers at most, and the shingles one range should hold.
 FLUSH = 1_000_000
 FLUSH_DOCS = 50_000
-RANGE = 2_500_000
+RANGE = 1_250_000
 #: A shingle of so many classes of one flush is sent as a count.
 LOCAL_HOT = 16
 #: Bits of a range in the first shuffle. Finer ranges are split from these in a second one.
@@ -279,6 +279,7 @@ def _count(bits: int, coarse: int):
         for flush, tokens, _ in hot:
             df = np.minimum(held[np.searchsorted(known, tokens)], 65535)
             out.append(record(BACK_ARROW, flush=flush, toks=(tokens | top).tobytes(), dfs=df.astype("<u2").tobytes()))
+        trim()
         return pa.Table.from_batches(out, BACK_ARROW)
 
     return reduce
@@ -314,6 +315,8 @@ def _gather(back: pa.Table) -> pa.Table:
     token, df, cls = token[order], df[order], cls[order]
     fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
     token, df, cls = token[fresh], df[fresh], cls[fresh]
+    del order, fresh
+    trim()
     rows: list[tuple] = []
     for at, s in zip(*runs(cls), strict=True):
         sid, n = heads[cls[at]].item()
@@ -339,6 +342,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.fromiter((common_tokens(x, y) for x, y in zip(batch.column(4), batch.column(5), strict=True)), np.int64, batch.num_rows)
         keep = LINK[0] * both >= LINK[1] * (na.astype(np.int64) + nb - both)
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+    release()
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,6 +350,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, 1024):
         both = [common_tokens(x, y) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, type=pa.int64())], names=["sid", "comp", "both"])
+    release()
 
 
 def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,6 +374,7 @@ def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from flush()
             size = 0
     yield from flush()
+    release()
 
 
 def _union(rows: pa.Table) -> pa.Table:
