@@ -16,10 +16,13 @@ empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -28,33 +31,44 @@ from .common import id_and_text, raw_texts, release, small_batches
 CAPACITY = 4096
 CLASSES = 32
 END_ID = 2
-#: Words whose ids a task remembers. The memory is emptied when full, which changes no result.
+#: Bytes of text and rows whose distinct words are encoded together.
+BYTES, ROWS = 4_000_000, 10_000
+#: Words outside ``LETTERS`` whose ids a task remembers. The memory is emptied when full, which changes no result.
 WORDS_HELD = 500_000
 #: Longer runs without a space are encoded each time.
 LONGEST_HELD = 64
-#: New words handed to the tokenizer at a time.
+#: Words handed to the tokenizer at a time.
 AT_ONCE = 2000
+#: Lower-case letters of ASCII and Latin-1: the normaliser leaves them as they are, and a run of them is one word to the tokenizer.
+LETTERS = "^[a-zß-öø-ÿ]+$"
+#: Behind such letters a run of ASCII marks is a word of its own.
+MARKS = string.punctuation
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
 
 class WordIds:
-    """Ids of a text, as little-endian unsigned 32-bit bytes.
+    """Ids of texts, as little-endian unsigned 32-bit bytes.
 
-    No token of this tokenizer spans white space and its normaliser works inside words, so a text's ids are those of its words in turn; each
-    distinct word is encoded once. New words go to the tokenizer many at a time, with a special token between them.
+    No token of this tokenizer spans white space and its normaliser works inside words, so a text's ids are those of its words in turn; of many texts
+    each distinct word is encoded once. Runs of letters go to the tokenizer's model alone, many at a time; the model closes each by a token that ends in its suffix.
+    Marks behind them, and all other words, pass through the whole tokenizer with a special token between them, and are remembered.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.between = next(t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special).content
         self.between_id = self.tokenizer.token_to_id(self.between)
         self.held: dict[bytes, bytes] = {}
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.points = {p: self.plain(p.decode()) for p in (b".", b",")}
+        self.letters = Tokenizer(self.tokenizer.model)  # the same model, not a copy
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocab = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
     def plain(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -63,14 +77,8 @@ class WordIds:
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words not held yet."""
         found: dict[bytes, bytes] = {}
-        ends = {}
-        for w in words:
-            # A point or comma after an ASCII letter is a token of its own.
-            if w[-1:] in self.points and len(w) > 1 and w[-2:-1].isalpha() and w[-2] < 128:
-                ends[w] = w[:-1]
-        todo = list({ends.get(w, w) for w in words}.difference(self.held))
         plain = []
-        for w in todo:
+        for w in words:
             text = w.decode("utf-8", "replace")
             if self.between in text:
                 found[w] = self.plain(text)
@@ -85,31 +93,70 @@ class WordIds:
                     one = []
                 else:
                     one.append(i.to_bytes(4, "little"))
-        for w, stem in ends.items():
-            found[w] = (found.get(stem) or self.held[stem]) + self.points[w[-1:]]
         return found
 
-    def of(self, raw: bytes) -> bytes:
-        """ASCII letters are lowered first, as the tokenizer would; only ASCII white space parts words here.
-
-        A word that holds a special token in any case stays as it is, since only the exact case is special.
-        """
-        low = raw.lower()
-        words = low.split()
-        if any(x in low for x in self.special):
-            words = [own if any(x in w for x in self.special) else w for own, w in zip(raw.split(), words, strict=True)]
+    def known(self, words: list[bytes]) -> list[bytes]:
         held = self.held
         new = set(words).difference(held)  # looks up each word; a key view would be walked whole
+        found = {}
         if new:
             if len(held) + len(new) > WORDS_HELD:
                 held.clear()
                 new = set(words)
             found = self.learn(new)
-            extra = {w: i for w, i in found.items() if len(w) > LONGEST_HELD}
             held.update((w, i) for w, i in found.items() if len(w) <= LONGEST_HELD)
-            if extra:
-                return b"".join(extra[w] if w in extra else held[w] for w in words)
-        return b"".join(map(held.__getitem__, words))
+        return [found[w] if w in found else held[w] for w in words]
+
+    def of_letters(self, words: pa.Array) -> pa.Array:
+        """Ids of words that are ``LETTERS``."""
+        parts = [np.zeros(0, dtype="<u4")]
+        for at in range(0, len(words), AT_ONCE):
+            text = " ".join(words.slice(at, AT_ONCE).to_pylist())
+            parts.append(np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4"))
+        ids = np.concatenate(parts)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer's model doesn't close each word by one token")
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(4 * np.append(0, ends)), pa.py_buffer(ids)])
+
+    def of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words."""
+        stems = pc.ascii_rtrim(words, characters=MARKS)
+        lettered = pc.match_substring_regex(stems, LETTERS)
+        marked = pc.and_(lettered, pc.not_equal(pc.binary_length(stems), pc.binary_length(words)))
+        marks = [w[n:] for w, n in zip(raw_texts(words.filter(marked)), pc.binary_length(stems.filter(marked)).to_pylist(), strict=True)]
+        stems = stems.filter(lettered).dictionary_encode()
+        bodies = pa.concat_arrays([self.of_letters(stems.dictionary), pa.array(self.known(raw_texts(words.filter(pc.invert(lettered)))), type=pa.large_binary())])
+        is_lettered, body = lettered.to_numpy(zero_copy_only=False), np.zeros(len(words), dtype=np.int64)
+        body[is_lettered] = stems.indices.to_numpy()
+        body[~is_lettered] = np.arange(len(stems.dictionary), len(bodies))
+        ends = {m: k for k, m in enumerate(dict.fromkeys(marks), 1)}
+        end = np.zeros(len(words), dtype=np.int64)
+        end[marked.to_numpy(zero_copy_only=False)] = [ends[m] for m in marks]
+        tails = pa.array([b"", *self.known(list(ends))], type=pa.large_binary())
+        return pc.binary_join_element_wise(bodies.take(pa.array(body)), tails.take(pa.array(end)), pa.scalar(b"", pa.large_binary()))
+
+    def lowered(self, raw: bytes) -> bytes:
+        """ASCII letters are lowered first, as the tokenizer would.
+
+        A word that holds a special token in any case stays as it is, since only the exact case is special.
+        """
+        low = raw.lower()
+        if any(x in low for x in self.special):
+            return b" ".join(own if any(x in w for x in self.special) else w for own, w in zip(raw.split(), low.split(), strict=True))
+        return low
+
+    def of_all(self, raws: list[bytes]) -> list[memoryview]:
+        """The ids of each text; only ASCII white space parts words here."""
+        parted = pc.ascii_split_whitespace(pa.array(map(self.lowered, raws), type=pa.large_binary()).view(pa.large_string()))
+        words = parted.values.dictionary_encode()
+        ids = self.of_words(words.dictionary).take(words.indices)
+        at = np.frombuffer(ids.buffers()[1], dtype=np.int64)[parted.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(raws) + 1)
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def of(self, raw: bytes) -> bytes:
+        return bytes(self.of_all([raw])[0])
 
 
 _IDS: dict[str, WordIds] = {}
@@ -197,9 +244,9 @@ def _pack(tokenizer: str, capacity: int, end_id: int):
             bins.placed.clear()
             return out
 
-        for batch in small_batches(batches):
-            for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                bins.add(doc_id, memoryview(ids.of(raw) + end))
+        for batch in small_batches(batches, ROWS, BYTES):
+            for doc_id, own in zip(batch.column(0).to_pylist(), ids.of_all(raw_texts(batch.column(1))), strict=True):
+                bins.add(doc_id, memoryview(bytes(own) + end))
             yield rows()
         bins.rest()
         yield rows()

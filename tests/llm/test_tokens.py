@@ -129,6 +129,48 @@ def word_ids():
     return WordIds(WORDS), Tokenizer.from_file(WORDS)
 
 
+LETTER_PARTS = ["the", "schön", "ñandú", "ß", "ÿ", "÷", "É", "é", "e\u0301", "\u0301", "K\u0338", "क़", "ﬁ", "ª", "'", "'s", "'T", "*", "$$$", ".,", "</w>", "<w", "7", "x" * 70, "\x1c", "\u0085", " ", "  ", "\t", "\x0b\x0c", "\n"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(LETTER_PARTS), max_size=9).map("".join), max_size=4))
+def test_ids_of_many_texts(word_ids, texts):
+    """Letters and the marks behind them, encoded apart, for several texts at once, as the tokenizer does it text by text."""
+    ids, whole = word_ids
+    found = [np.frombuffer(x, "<u4").tolist() for x in ids.of_all([t.encode() for t in texts])]
+    assert found == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_of_broken_texts():
+    """Bytes that are no UTF-8 become U+FFFD, as before."""
+    ids, whole = WordIds(WORDS), Tokenizer.from_file(WORDS)
+    raws = [b"", b" ", b"caf\xc3. caf\xe9 \xff", b"\xc3\xa9\xc3 ok"]
+    expect = [[i for w in x.split() for i in whole.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids] for x in raws]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.of_all(raws)] == expect
+
+
+def test_letters_bypass_the_whole_tokenizer():
+    """What op6 spends is words through the whole tokenizer: only marks and words that aren't letters take that way, each once."""
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner, self.words = inner, []
+
+        def encode_batch_fast(self, texts, **more):
+            self.words += [w for t in texts for w in t.split(ids.between)]
+            return self.inner.encode_batch_fast(texts, **more)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    ids, whole = WordIds(WORDS), Tokenizer.from_file(WORDS)
+    spy = ids.tokenizer = Spy(ids.tokenizer)
+    text = " ".join(f"{stem}{mark}" for stem in ("erndea", "schüß", "ñosíar", "the") for mark in ("", ".", ",", "$$$", ".%%%")) + " it's 12"
+    for _ in range(2):
+        assert np.frombuffer(ids.of(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert sorted(spy.words) == sorted([".", ",", "$$$", ".%%%", "it's", "12"])
+
+
 def test_token_counts_edge_rows(spark):
     rows = [(1, None, 5), (2, "", 6), (None, "the end", 7), (3, "x" * 200_000, 8), (3, "x" * 200_000, 8)]
     out = count_tokens(spark.createDataFrame(rows, "doc_id long, text string, score int"), MODEL).collect()
