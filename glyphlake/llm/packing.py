@@ -39,8 +39,8 @@ WORDS_HELD = 500_000
 LONGEST_HELD = 64
 #: Words handed to the tokenizer at a time.
 AT_ONCE = 2000
-#: Lower-case letters of ASCII and Latin-1: the normaliser leaves them as they are, and a run of them is one word to the tokenizer.
-LETTERS = "^[a-zß-öø-ÿ]+$"
+#: Lower-case letters of ASCII, Latin-1, Greek and Cyrillic: the normaliser leaves them as they are, and a run of them is one word to the tokenizer.
+LETTERS = "^[a-zß-öø-ÿα-ωа-џ]+$"
 #: Behind such letters a run of ASCII marks is a word of its own.
 MARKS = string.punctuation
 

@@ -129,7 +129,7 @@ def word_ids():
     return WordIds(WORDS), Tokenizer.from_file(WORDS)
 
 
-LETTER_PARTS = ["the", "schön", "ñandú", "ß", "ÿ", "÷", "É", "é", "e\u0301", "\u0301", "K\u0338", "क़", "ﬁ", "ª", "'", "'s", "'T", "*", "$$$", ".,", "</w>", "<w", "7", "x" * 70, "\x1c", "\u0085", " ", "  ", "\t", "\x0b\x0c", "\n"]
+LETTER_PARTS = ["the", "λόγος", "σς", "Σ", "ὀ", "ёжик", "џа", "Ѐ", "и\u0306", "Й", "schön", "ñandú", "ß", "ÿ", "÷", "É", "é", "e\u0301", "\u0301", "K\u0338", "क़", "ﬁ", "ª", "'", "'s", "'T", "*", "$$$", ".,", "</w>", "<w", "7", "x" * 70, "\x1c", "\u0085", " ", "  ", "\t", "\x0b\x0c", "\n"]
 
 
 @settings(max_examples=600, deadline=None)
