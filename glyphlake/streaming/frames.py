@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .tracker import fuse_positions, stable_votes
 
-#: Weights of the lightness.
-LUMA = (0.299, 0.587, 0.114)
+#: Weights of the lightness, in thousandths, so that sums of whole levels are exact.
+LUMA = (299, 587, 114)
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,8 @@ def ink_boxes(pixels: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     ``pixels``: frame_id, x, y, r, g, b. Ends are minima and maxima that each task finds for itself first.
     """
-    light = sum(F.col(c) * w for c, w in zip("rgb", LUMA, strict=True))
-    ink = light >= settings.threshold if settings.bright_text else light <= settings.threshold
+    light, least = sum(F.col(c) * w for c, w in zip("rgb", LUMA, strict=True)), sum(LUMA) * settings.threshold
+    ink = light >= least if settings.bright_text else light <= least
     ends = lambda f, c: f(F.when(ink, F.col(c)))
     box = pixels.groupBy("frame_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"), *(ends(f, c).alias(f"_{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))))
     span = lambda c: F.floor((F.col(f"_{c}1") - F.col(f"_{c}0") + 1) / 4)
