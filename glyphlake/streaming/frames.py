@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tracker import fuse_positions, stable_votes
+from .tracker import fuse_histories, stable_votes
 
 #: Weights of the lightness, in thousandths, so that sums of whole levels are exact.
 LUMA = (299, 587, 114)
@@ -105,21 +106,29 @@ def evidence(chars: DataFrame, alternatives: DataFrame) -> DataFrame:
 
 
 FUSED = "fused string, fused_confidence double"
+#: Rows that the kernel fuses at a time.
+AT_ONCE = 2000
 
 
-def fuse_window(frames: DataFrame, align: float) -> DataFrame:
-    """Add the fused text of ``_last``, each row's last frames: arrays of (x, w, char, confidence, logits)."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema) + f", {FUSED}"
-    at = frames.columns.index("_last")
+def fuse_window(frames: DataFrame, window: int, align: float) -> DataFrame:
+    """Replace ``positions`` by the fused text of each row and the ``window`` - 1 before it in its stream.
+
+    Rows come in the order of their streams, ``_n`` is a row's number there. A task keeps the last rows of a batch for the next one.
+    """
+    kept = [c for c in frames.columns if c != "positions"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema if f.name in kept] + [FUSED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, sure = [], []
-            for last in batch.column(at).to_pylist():
-                found = fuse_positions([[(p["x"], p["w"], p["char"], dict(p["logits"]), p["confidence"]) for p in frame["positions"]] for frame in last], align)
-                texts.append("".join(c for _, c, _ in found) if found else None)
-                sure.append(sum(s for _, _, s in found) / len(found) if found else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(sure, pa.float64())], names=[*batch.schema.names, "fused", "fused_confidence"])
+        before = None
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                positions, seen = batch.column("positions"), np.minimum(batch.column("_n").to_numpy(), window)
+                first = len(before) if before is not None else 0
+                held = pa.concat_arrays([before, positions]) if first else pa.concat_arrays([positions])
+                texts, sure = fuse_histories(held, np.concatenate((np.zeros(first, seen.dtype), seen)), first, align)
+                before = held[max(0, len(held) - window + 1) :] if window > 1 else None
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts, sure], names=[*kept, "fused", "fused_confidence"])
 
     return frames.mapInArrow(run, schema)
 
@@ -128,17 +137,19 @@ def shown_texts(frames: DataFrame, key: str, order: list[str], settings: Setting
     """Add ``stable``, ``fused``, ``shown`` and its ``source``: the voted text, else the fused one where it differs from the frame's own, else that one.
 
     ``frames``: key, order, text, positions (array of x, w, char, confidence, logits). ``alternatives`` are the last different texts, latest first.
-    A row's history is a frame of ``window`` rows, so a stream of any length never gathers in one place.
+    A row's history is a frame of ``window`` rows, so a stream of any length never gathers in one place. Positions are sent to the kernel once, in the
+    order of their streams, which the windows before it have already made.
     """
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - settings.window, 0)
+    stream = Window.partitionBy(key).orderBy(*order)
+    w = stream.rowsBetween(1 - settings.window, 0)
     own = stable_votes(frames, key, order, "text", settings.window, settings.min_frames, settings.vote_ratio) if settings.voting else frames.withColumn("stable", F.lit(None).cast("string"))
-    own = own.withColumn("_last", F.collect_list(F.struct("text", "positions")).over(w))
-    own = fuse_window(own, settings.align)
-    fused = F.col("fused").isNotNull() & (F.size("_last") >= settings.fusion_min_frames) & (F.col("fused") != F.col("text")) & F.lit(settings.fusion)
-    recent = F.array_distinct(F.filter(F.transform(F.reverse("_last"), lambda x: x["text"]), lambda t: t != ""))
+    own = own.withColumn("_last", F.collect_list("text").over(w)).withColumn("_n", F.row_number().over(stream))
+    own = fuse_window(own.sortWithinPartitions(key, *order), settings.window, settings.align)
+    fused = F.col("fused").isNotNull() & (F.least("_n", F.lit(settings.window)) >= settings.fusion_min_frames) & (F.col("fused") != F.col("text")) & F.lit(settings.fusion)
+    recent = F.array_distinct(F.filter(F.reverse("_last"), lambda t: t != ""))
     source = F.when(F.col("stable").isNotNull(), "stable").when(fused, "fused").otherwise("latest")
     out = own.withColumns({"source": source, "shown": F.when(F.col("stable").isNotNull(), F.col("stable")).when(fused, F.col("fused")).otherwise(F.col("text")), "alternatives": F.when(fused & F.col("stable").isNull(), F.slice(recent, 1, settings.alternatives))})
-    return out.drop("_last", "positions")
+    return out.drop("_last", "_n")
 
 
 def annotate(shown: DataFrame, lexicon: DataFrame) -> DataFrame:

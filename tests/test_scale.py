@@ -2,7 +2,11 @@
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
+
 from glyphlake.streaming import frames as fr
+from glyphlake.streaming import tracker
 
 
 def test_grey_at_the_threshold_is_ink(spark):
@@ -13,3 +17,28 @@ def test_grey_at_the_threshold_is_ink(spark):
     assert fr.signatures(grey, box).first().signature != "empty"
     dark = fr.Settings(bright_text=False, threshold=127)
     assert tuple(fr.ink_boxes(grey, dark).first()) == (1, 0, 0, 8, 8)
+
+
+def test_histories_are_fused_together():
+    """Many rows at once give what each gives alone: slots that open and are taken, ties, missing and foreign evidence."""
+    r = np.random.default_rng(3)
+    place = lambda k: {"x": float(9 * k + r.integers(-6, 7)), "w": float(r.integers(2, 9)), "char": "abc"[r.integers(3)], "confidence": float(r.random()), "logits": [(c, float(r.integers(1, 4)) / 4) for c in r.permutation(list("abcd"))[: r.integers(4)]]}
+    rows = [[place(k) for k in range(r.integers(0, 6))] for _ in range(400)]
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("w", pa.float64()), ("char", pa.string()), ("confidence", pa.float64()), ("logits", pa.map_(pa.string(), pa.float64()))]))
+    seen = np.array([min(8, i % 37 + 1) for i in range(len(rows))])
+    for values in (rows, [*rows[:-1], [place(0) | {"x": float("inf")}]]):
+        texts, sure = tracker.fuse_histories(pa.array(values, kind), seen, 20, 8.0)
+        for i, text, s in zip(range(20, len(rows)), texts.to_pylist(), sure.to_pylist(), strict=True):
+            alone = tracker.fuse_positions([[(p["x"], p["w"], p["char"], dict(p["logits"]), p["confidence"]) for p in f] for f in values[i + 1 - seen[i] : i + 1]], 8.0)
+            assert text == ("".join(c for _, c, _ in alone) if alone else None)
+            assert s == (sum(c for _, _, c in alone) / len(alone) if alone else None)
+
+
+def test_streams_go_on_from_batch_to_batch(spark, monkeypatch):
+    """The same texts whether a task's rows come in one batch or a few at a time."""
+    from glyphlake.plans.frame_queries import readings
+
+    own = lambda: [tuple(x) for x in fr.shown_texts(readings(spark, "/root/testdata/sf0.001"), "user_id", ["ts", "event_id"]).orderBy("event_id").collect()]
+    whole = own()
+    monkeypatch.setattr(fr, "AT_ONCE", 3)
+    assert own() == whole and len({x["source"] for x in fr.shown_texts(readings(spark, "/root/testdata/sf0.001"), "user_id", ["ts", "event_id"]).select("source").collect()}) > 1
