@@ -6,10 +6,11 @@ from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass, fields
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sheets
 from .segmentation import Bounds
 from .vision import Ink, Script, find_lines, normalize_glyph
 
@@ -100,21 +101,49 @@ def characters_of(mask: np.ndarray, bounds: Bounds = Bounds(), stroke: int = 1)
     return out
 
 
+GLYPHS = "image_id long, line int, idx int, x int, y int, w int, h int, glyph binary"
+GLYPHS_ARROW = pa.schema([("image_id", pa.int64()), *((c, pa.int32()) for c in ("line", "idx", "x", "y", "w", "h")), ("glyph", pa.binary())])
+
+
+def fragments_together(found: sheets.Components, bounds: Bounds, stroke: int = 1) -> None:
+    """``merge_fragments`` in each group of components."""
+    count = np.bincount(found.group)[found.group] if len(found.group) else found.group
+    i, j = np.repeat(np.arange(len(count)), count), np.repeat(np.searchsorted(found.group, found.group), count) + sheets.ranges(count)
+    over = lambda a, size: np.minimum(a[i] + size[i], a[j] + size[j]) - np.maximum(a[i], a[j])
+    wide, high = over(found.x, found.w), over(found.y, found.h)
+    near = ((-wide <= max(1, stroke)) & (high >= 1)) | ((-high <= max(3, bounds.height_least // 2)) & (wide >= 1))
+    found.united(sheets.joined(len(count), i[near], j[near]))
+
+
 def character_glyphs(images: DataFrame, ink: Ink = Ink(), bounds: Bounds = Bounds(), soft: bool = False) -> DataFrame:
-    """(image_id, line, idx, x, y, w, h, glyph): every character of an image, normalised from its mask or from its strengths."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                image = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3)
-                strength = ink.soft(image) if soft else None
-                for i, (line, (x, y, m)) in enumerate(characters_of(ink.hard(image), bounds)):
-                    h, w = m.shape
-                    rows.append((r.image_id, line, i, x, y, w, h, normalize_glyph(strength[y : y + h, x : x + w] if soft else m).tobytes()))
-            yield pd.DataFrame(rows, columns=["image_id", "line", "idx", "x", "y", "w", "h", "glyph"])
-
-    return images.mapInPandas(run, "image_id long, line int, idx int, x int, y int, w int, h int, glyph binary")
+    """(image_id, line, idx, x, y, w, h, glyph): every character of an image, normalised from its mask or from its strengths.
+
+    A batch of images is taken at once; those with a character to be cut are taken one by one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sheets.slices(batches):
+            sheet = sheets.Sheet(batch)
+            mask, strength = ink.hard(sheet.pixels), ink.soft(sheet.pixels) if soft else None
+            rows, _, line, _ = sheets.text_lines(sheet, mask, bounds.height_least)
+            found = sheet.components(mask, rows)
+            found.ordered("group", "x", "y")
+            fragments_together(found, bounds)
+            found.ordered("group", "x", "y", "label")
+            wide = np.unique(found.image[found.w > max(bounds.width_most, bounds.width_least + 2)])
+            own, part = np.flatnonzero(~np.isin(found.image, wide)), found.painted()
+            value = (lambda _, at, strength=strength: strength[at]) if soft else (lambda k, at, part=part, own=own: (part[at] == own[k]) * np.uint8(255))
+            x, y, w, h, image = (v[own] for v in (found.x, found.y, found.w, found.h, found.image))
+            idx = np.arange(len(own)) - np.searchsorted(image, image)
+            yield sheets.record(GLYPHS_ARROW, sheet.ids.take(pa.array(image)), line[found.group[own]], idx, x, y, w, h, sheets.binaries(sheets.normalised(sheet, image, x, y, w, h, value)))
+            for one in wide.tolist():
+                at, shape = slice(sheet.start[one], sheet.start[one] + sheet.width[one] * sheet.height[one]), (sheet.height[one], sheet.width[one])
+                chars = characters_of(mask[at].reshape(shape), bounds)
+                pick = lambda x, y, m, at=at, shape=shape: strength[at].reshape(shape)[y : y + m.shape[0], x : x + m.shape[1]] if soft else m
+                every = [(sheet.ids[one].as_py(), k, i, x, y, m.shape[1], m.shape[0], normalize_glyph(pick(x, y, m)).tobytes()) for i, (k, (x, y, m)) in enumerate(chars)]
+                yield sheets.record(GLYPHS_ARROW, *zip(*every, strict=True))
+
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, GLYPHS)
 
 
 def resize_smooth(patch: np.ndarray, size: int = 24) -> np.ndarray:

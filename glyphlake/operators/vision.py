@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TARGET = 24
@@ -175,19 +176,26 @@ def forward(x: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
     return y.mean((2, 3)) @ weights["fc_w"].T + weights["fc_b"]
 
 
+GLYPHS = "image_id long, comp int, x int, y int, w int, h int, ink int, glyph binary"
+GLYPHS_ARROW = pa.schema([("image_id", pa.int64()), *((c, pa.int32()) for c in ("comp", "x", "y", "w", "h", "ink")), ("glyph", pa.binary())])
+
+
 def glyphs_of_images(images: DataFrame, threshold: float = 128) -> DataFrame:
     """(image_id, comp, x, y, w, h, ink, glyph) of raw RGB images (image_id, width, height, pixels)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                mask = foreground(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3), threshold)
-                for k, (x, y, w, h, ink) in enumerate(components(mask)):
-                    rows.append((r.image_id, k, x, y, w, h, ink, normalize_glyph(mask[y : y + h, x : x + w]).tobytes()))
-            yield pd.DataFrame(rows, columns=["image_id", "comp", "x", "y", "w", "h", "ink", "glyph"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from . import sheets
+
+        for batch in sheets.slices(batches):
+            sheet = sheets.Sheet(batch)
+            mask = foreground(sheet.pixels, threshold)
+            found = sheet.components(mask)
+            found.ordered("image", "x", "y", "w", "h", "ink")
+            ink = mask.astype(np.uint8) * 255
+            glyph = sheets.normalised(sheet, found.image, found.x, found.y, found.w, found.h, lambda _, at, ink=ink: ink[at])
+            yield sheets.record(GLYPHS_ARROW, sheet.ids.take(pa.array(found.image)), found.rank(), found.x, found.y, found.w, found.h, found.ink, sheets.binaries(glyph))
 
-    return images.mapInPandas(run, "image_id long, comp int, x int, y int, w int, h int, ink int, glyph binary")
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, GLYPHS)
 
 
 def soft_glyphs_of_images(images: DataFrame, ink: Ink = Ink(), script: Script | None = None, target: int = TARGET) -> DataFrame:
@@ -207,29 +215,37 @@ def soft_glyphs_of_images(images: DataFrame, ink: Ink = Ink(), script: Script |
     return images.mapInPandas(run, "image_id long, comp int, x int, y int, w int, h int, glyph binary")
 
 
+LINES = "line_id long, component int, x int, y int, w int, h int, mask binary"
+LINES_ARROW = pa.schema([("line_id", pa.int64()), *((c, pa.int32()) for c in ("component", "x", "y", "w", "h")), ("mask", pa.binary())])
+
+
 def masks_of_lines(images: DataFrame, ink: Ink = Ink()) -> DataFrame:
     """(line_id, component, x, y, w, h, mask): all ink of an image as one component, for ``merges.expand_atoms``; images without ink are left out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                mask = ink.hard(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3))
-                ys, xs = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
-                if len(xs):
-                    own = mask[ys[0] : ys[-1] + 1, xs[0] : xs[-1] + 1]
-                    rows.append((r.image_id, 0, int(xs[0]), int(ys[0]), own.shape[1], own.shape[0], own.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(rows, columns=["line_id", "component", "x", "y", "w", "h", "mask"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from . import sheets
+
+        for batch in sheets.slices(batches):
+            sheet = sheets.Sheet(batch)
+            mask = ink.hard(sheet.pixels)
+            image, x, y, w, h = sheet.boxes(mask)
+            own = np.repeat(sheet.start[image] + y * sheet.width[image] + x, w * h) + sheets.ranges(w * h) // np.repeat(w, w * h) * np.repeat(sheet.width[image], w * h) + sheets.ranges(w * h) % np.repeat(w, w * h)
+            yield sheets.record(LINES_ARROW, sheet.ids.take(pa.array(image)), np.zeros(len(image), np.int32), x, y, w, h, sheets.cut_out(mask.astype(np.uint8), own, w * h))
+
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, LINES)
 
-    return images.mapInPandas(run, "line_id long, component int, x int, y int, w int, h int, mask binary")
+
+SUMS_ARROW = pa.schema([("image_id", pa.int64()), ("ink", pa.int64()), ("soft_sum", pa.int64())])
 
 
 def masks_of_images(images: DataFrame, threshold: float = 128) -> DataFrame:
     """(image_id, ink, soft_sum) of each image's hard and soft foreground."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pixels = [np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3) for r in batch.itertuples()]
-            yield pd.DataFrame({"image_id": batch["image_id"], "ink": [int(foreground(p, threshold).sum()) for p in pixels], "soft_sum": [int(soft_foreground(p).astype(np.int64).sum()) for p in pixels]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from . import sheets
+
+        for batch in sheets.slices(batches):
+            sheet = sheets.Sheet(batch)
+            yield sheets.record(SUMS_ARROW, sheet.ids, sheet.sums(foreground(sheet.pixels, threshold)), sheet.sums(soft_foreground(sheet.pixels)))
 
-    return images.mapInPandas(run, "image_id long, ink long, soft_sum long")
+    return images.select("image_id", "width", "height", "pixels").mapInArrow(run, "image_id long, ink long, soft_sum long")

@@ -5,31 +5,42 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import vision
+from ..operators import sheets, vision
 from .carriers import table
 from .catalogue import register
 
 HEIGHT = 16
+#: Images drawn at a time.
+AT_ONCE = 1000
+IMAGES_ARROW = pa.schema([("image_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())])
 
 
 def images(spark, sf_dir):
     """(image_id, width, height, pixels) of each order: bars 4 wide and 6 apart, with a brightness by part."""
     items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("bars"))
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                image = np.zeros((HEIGHT, 6 * len(r.bars) + 2, 3), np.uint8)
-                for k, bar in enumerate(r.bars):
-                    image[2 : 3 + bar["l_linenumber"], 2 + 6 * k : 6 + 6 * k] = 100 + bar["l_partkey"] % 150
-                rows.append((r.image_id, image.shape[1], HEIGHT, image.tobytes()))
-            yield pd.DataFrame(rows, columns=["image_id", "width", "height", "pixels"])
-
-    return items.mapInPandas(draw, "image_id long, width int, height int, pixels binary")
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                bars = batch.column("bars")
+                count = np.diff(bars.offsets.to_numpy())
+                line, part = (c.to_numpy().astype(np.int64) for c in bars.flatten().flatten())
+                width = 6 * count + 2
+                start = np.cumsum(HEIGHT * width) - HEIGHT * width
+                image = np.repeat(np.arange(len(count)), count)
+                left = start[image] + 2 + 6 * sheets.ranges(count)
+                grey = np.zeros(int((HEIGHT * width).sum()), np.uint8)
+                for y in range(2, HEIGHT):
+                    tall = np.flatnonzero(line + 3 > y)
+                    grey[(left[tall] + y * width[image[tall]])[:, None] + np.arange(4)] = (100 + part[tall] % 150)[:, None]
+                pixels = sheets.cut_out(np.repeat(grey, 3), slice(None), 3 * HEIGHT * width)
+                yield sheets.record(IMAGES_ARROW, batch.column("image_id"), width, np.full(len(width), HEIGHT), pixels)
+
+    return items.mapInArrow(draw, "image_id long, width int, height int, pixels binary")
 
 
 @register("""

@@ -42,3 +42,65 @@ def test_streams_go_on_from_batch_to_batch(spark, monkeypatch):
     whole = own()
     monkeypatch.setattr(fr, "AT_ONCE", 3)
     assert own() == whole and len({x["source"] for x in fr.shown_texts(readings(spark, "/root/testdata/sf0.001"), "user_id", ["ts", "event_id"]).select("source").collect()}) > 1
+
+
+def drawn(r, n=120):
+    """Random masks as a batch of images: noise, lines of bars, and nothing at all."""
+    masks = []
+    for i in range(n):
+        h, w = int(r.integers(1, 40)), int(r.integers(1, 90))
+        mask = r.random((h, w)) < r.choice([0.05, 0.3, 0.6]) if i % 3 else np.zeros((h, w), bool)
+        for x in range(1, w - 4, int(r.integers(5, 9))) if i % 3 != 1 else ():
+            mask[r.integers(h) :, x : x + int(r.integers(2, 5))] = True
+        masks.append(mask)
+    # Blue is one less, so that no lightness is a whole number, which rounding could take either way.
+    level = [((m * r.integers(130, 256, m.shape))[:, :, None] - m[:, :, None] * np.array([0, 0, 1])).astype(np.uint8) for m in masks]
+    return masks, level, [(i, m.shape[1], m.shape[0], v.tobytes()) for i, (m, v) in enumerate(zip(masks, level, strict=True))]
+
+
+SCHEMA = "image_id long, width int, height int, pixels binary"
+
+
+def test_images_of_a_batch_together(spark, monkeypatch):
+    """Components, sums, masks and characters of many images are those of each alone."""
+    from glyphlake.operators import glyphs, sheets, vision
+    from glyphlake.operators.segmentation import Bounds
+
+    monkeypatch.setattr(sheets, "PIXELS", 5000)
+    masks, level, rows = drawn(np.random.default_rng(4))
+    images = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    every = sorted(map(tuple, vision.glyphs_of_images(images).collect()))
+    assert every == sorted((i, k, *c, vision.normalize_glyph(m[c[1] : c[1] + c[3], c[0] : c[0] + c[2]]).tobytes()) for i, m in enumerate(masks) for k, c in enumerate(vision.components(m)))
+    assert {tuple(x) for x in vision.masks_of_images(images).collect()} == {(i, int(m.sum()), int(vision.soft_foreground(v).astype(int).sum())) for i, (m, v) in enumerate(zip(masks, level, strict=True))}
+    whole = {x.line_id: (x.x, x.y, x.w, x.h, bytes(x.mask)) for x in vision.masks_of_lines(images).collect()}
+    for i, m in enumerate(masks):
+        if not m.any():
+            assert i not in whole
+            continue
+        x, y, own = glyphs.tight(0, 0, m)
+        assert whole[i] == (x, y, own.shape[1], own.shape[0], own.tobytes())
+    for bounds, soft in ((Bounds(height_least=2, width_least=2), False), (Bounds(width_most=30), True)):
+        out = sorted(map(tuple, glyphs.character_glyphs(images, bounds=bounds, soft=soft).collect()))
+        strength = [vision.soft_foreground(v) for v in level]
+        assert out == sorted((i, line, k, x, y, c.shape[1], c.shape[0], vision.normalize_glyph(strength[i][y : y + c.shape[0], x : x + c.shape[1]] if soft else c).tobytes()) for i, m in enumerate(masks) for k, (line, (x, y, c)) in enumerate(glyphs.characters_of(m, bounds)))
+
+
+def test_candidates_of_a_batch_together(spark):
+    """Candidates of many images, with cut components, fonts' frames and soft glyphs, are those of each line alone."""
+    from glyphlake import lines
+    from glyphlake.operators import glyphs, vision
+    from glyphlake.operators.segmentation import Bounds
+
+    masks, level, rows = drawn(np.random.default_rng(6), 60)
+    images = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    for reading in (lines.Reading(bounds=Bounds(height_least=2, width_least=2), longest=2), lines.Reading(bounds=Bounds(height_least=4), longest=3, spec=glyphs.NormalSpec())):
+        want = []
+        for i, (m, v) in enumerate(zip(masks, level, strict=True)):
+            soft = vision.soft_foreground(v)
+            for k, (a, b) in enumerate(vision.find_lines(m, reading.bounds.height_least)):
+                if parts := glyphs.component_parts(m[a : b + 1]):
+                    want += [(i, i * lines.LINES + k, *row[:-2], row[-2].tolist(), row[-1]) for row in lines.candidates_of_line(parts, reading, soft[a : b + 1])]
+        found = [(*x[:-1], bytes(x[-1])) for x in map(tuple, lines.candidates_of_images(images, reading).collect())]
+        assert len(want) > 300 and any(x[4] > x[5] for x in want)
+        assert sorted(map(str, found)) == sorted(map(str, want))
+        assert {x.soft for x in lines.candidates_of_images(images, reading, strong=False).collect()} == {None}
