@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 INK_SHARE, INK_EXTRA = 0.2, 3
 #: Prototypes are sent in parts of at most so many rows.
 BROADCAST_PROTOTYPES = 100_000
-#: Words, or products, that a kernel holds at a time; and the width of a band of ink.
+#: Words, or products, that a kernel holds at a time.
 AT_ONCE = 2_000_000
-BAND = 8
 
 
 def pack_bits(values: Column) -> Column:
@@ -29,10 +28,11 @@ def with_bits(df: DataFrame, values: str) -> DataFrame:
 
 def chunks(table: DataFrame, order: list[str], rows: int) -> Iterator[pa.Table]:
     """A table in parts of a checked size: in one if it has at most ``rows`` rows, else by the hash of its key."""
-    size = table.limit(rows + 1).count()
-    if size <= rows:
-        yield table.toArrow()
+    first = table.limit(rows + 1).toArrow()  # a table that is dear to make is made once
+    if first.num_rows <= rows:
+        yield first
         return
+    del first
     parts = -(-2 * table.count() // rows)
     place = F.pmod(F.xxhash64(*order), F.lit(parts))
     for k in range(parts):
@@ -91,14 +91,48 @@ def fold(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("glyph_id", "char_id").agg(F.min(F.struct("distance", "proto_id")).alias("b")).select("glyph_id", "char_id", "b.distance", "b.proto_id")
 
 
-def coarse_pairs(glyphs: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """(glyph_id, char_id, proto_id, distance) of pairs of similar ink: the range as an equi-join on bands, a glyph reaching those about its own."""
-    g = glyphs.select("glyph_id", F.col("bits").alias("g_bits"), F.col("ink").alias("g_ink"))
-    p = prototypes.select("proto_id", "char_id", F.col("bits").alias("p_bits"), F.col("ink").alias("p_ink"))
-    reach = F.floor(INK_SHARE * F.col("g_ink")).cast("int") + INK_EXTRA
-    g = g.withColumn("band", F.explode(F.sequence(F.floor((F.col("g_ink") - reach) / BAND), F.floor((F.col("g_ink") + reach) / BAND))))
-    both = g.join(p.withColumn("band", F.floor(F.col("p_ink") / BAND)), "band").where(F.abs(F.col("g_ink") - F.col("p_ink")) <= reach)
-    return both.select("glyph_id", "char_id", "proto_id", F.bit_count(F.col("g_bits").bitwiseXOR(F.col("p_bits"))).cast("long").alias("distance"))
+def coarse_counts(glyphs: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """(glyph_id, n): how many prototypes have an ink like the glyph's. Only counts of each ink are joined; inks of 64 bits have at most 65 values."""
+    g = glyphs.groupBy(F.col("ink").alias("g_ink")).count().drop("count")
+    p = prototypes.groupBy(F.col("ink").alias("p_ink")).agg(F.count("*").alias("k"))
+    near = F.abs(F.col("g_ink") - F.col("p_ink")) <= F.floor(INK_SHARE * F.col("g_ink")).cast("int") + INK_EXTRA
+    n = g.join(F.broadcast(p), near).groupBy("g_ink").agg(F.sum("k").alias("n"))
+    return glyphs.select("glyph_id", F.col("ink").alias("g_ink")).join(F.broadcast(n), "g_ink").select("glyph_id", "n")
+
+
+def coarse_minimum(glyphs: DataFrame, prototypes: DataFrame, rows: int = BROADCAST_PROTOTYPES) -> DataFrame:
+    """(glyph_id, distance): least distance of each glyph to the prototypes of similar ink; glyphs without any are left out.
+
+    As in ``class_minimum`` a kernel compares a batch with a part. Prototypes and glyphs are sorted by ink, so those of similar ink are one range.
+    """
+    kind = glyphs.schema["glyph_id"].dataType.simpleString()
+    own, out = glyphs.where("bits IS NOT NULL").select("glyph_id", "bits", F.col("ink").cast("long").alias("ink")), None
+    prototypes = prototypes.where("bits IS NOT NULL")
+    for part in chunks(prototypes.select("char_id", "proto_id", "bits", F.col("ink").cast("long").alias("ink")), ["char_id", "proto_id"], rows):
+        shared = glyphs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            part = shared.value.sort_by("ink")
+            p_ink, words = part.column("ink").to_numpy(), matrix(part.column("bits").combine_chunks()).view(np.uint64)
+            for batch in batches:
+                ink, mine = batch.column(2).to_numpy(), matrix(batch.column(1)).view(np.uint64)
+                reach = np.floor(INK_SHARE * ink).astype(np.int64) + INK_EXTRA
+                low, high = np.searchsorted(p_ink, ink - reach, side="left"), np.searchsorted(p_ink, ink + reach, side="right")
+                least = np.zeros(len(ink), np.int64)
+                for level in np.unique(ink):  # glyphs of one ink share their range
+                    some = np.flatnonzero(ink == level)
+                    near = words[low[some[0]] : high[some[0]]]
+                    step = max(1, AT_ONCE // max(1, near.size))
+                    for at in range(0, len(some) if len(near) else 0, step):
+                        few = mine[some[at : at + step]]
+                        apart = sum(np.bitwise_count(few[:, k, None] ^ near[None, :, k]).astype(np.uint16) for k in range(words.shape[1]))
+                        least[some[at : at + step]] = apart.min(1)
+                found = high > low
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(found)), pa.array(least[found], pa.int64())], names=["glyph_id", "distance"])
+
+        one = own.mapInArrow(run, f"glyph_id {kind}, distance long")
+        out, many = (one, False) if out is None else (out.unionByName(one), True)
+    return out.groupBy("glyph_id").agg(F.min("distance").alias("distance")) if many else out
 
 
 def nearest(best: DataFrame) -> DataFrame:
@@ -148,18 +182,44 @@ def ncc_best(glyphs: DataFrame, bank: DataFrame, rows: int = BROADCAST_PROTOTYPE
 CLEAN_MODE = 2
 
 
-def char_evidence(wanted: DataFrame, glyphs: DataFrame, prototypes: DataFrame, size: int) -> DataFrame:
+def char_evidence(wanted: DataFrame, glyphs: DataFrame, prototypes: DataFrame, size: int, rows: int = BROADCAST_PROTOTYPES) -> DataFrame:
     """What templates say of single characters: best distance, score and prototype, whether any has a similar ink, and the best score of each render state.
 
     ``wanted``: glyph_id, char_id; ``glyphs``: glyph_id, bits, ink; ``prototypes``: char_id, proto_id, render_size, mode, bits, ink. A character without prototypes has
-    the score 0. Only a character's own prototypes are looked at: an equi-join.
+    the score 0. Only a character's own prototypes are looked at: they go to the tasks in parts, and a kernel keeps the least of each render state, so no pair becomes a row.
     """
-    g = glyphs.select("glyph_id", F.col("bits").alias("g_bits"), F.col("ink").alias("g_ink"))
     state = F.when(F.col("mode") == CLEAN_MODE, "clean").otherwise(F.concat_ws("_", "render_size", "mode"))
-    p = prototypes.select("char_id", "proto_id", state.alias("state"), F.col("bits").alias("p_bits"), F.col("ink").alias("p_ink"))
-    near = F.abs(F.col("g_ink") - F.col("p_ink")) <= F.floor(INK_SHARE * F.col("g_ink")) + INK_EXTRA
-    pairs = wanted.join(g, "glyph_id").join(p, "char_id").select("glyph_id", "char_id", "state", "proto_id", near.alias("near"), F.bit_count(F.col("g_bits").bitwiseXOR(F.col("p_bits"))).cast("long").alias("distance"))
-    each = pairs.groupBy("glyph_id", "char_id", "state").agg(F.min(F.struct("distance", "proto_id")).alias("b"), F.max("near").alias("near"))
+    kind, char = glyphs.schema["glyph_id"].dataType.simpleString(), wanted.schema["char_id"].dataType.simpleString()
+    prototypes = prototypes.where("bits IS NOT NULL AND char_id IS NOT NULL")
+    asked, each = wanted.where("char_id IS NOT NULL").join(glyphs.where("bits IS NOT NULL").select("glyph_id", "bits", F.col("ink").cast("long").alias("ink")), "glyph_id").select("glyph_id", F.col("char_id").cast("long").alias("char_id"), "bits", "ink"), None
+    for part in chunks(prototypes.select(F.col("char_id").cast("long").alias("char_id"), F.col("proto_id").cast("long").alias("proto_id"), state.alias("state"), "bits", F.col("ink").cast("long").alias("ink")), ["char_id", "proto_id"], rows):
+        shared = glyphs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            part = shared.value.sort_by([("char_id", "ascending"), ("state", "ascending"), ("proto_id", "ascending")])
+            names = part.column("state").combine_chunks().dictionary_encode()
+            p_char, p_state, proto, p_ink = part.column("char_id").to_numpy(), names.indices.to_numpy(), part.column("proto_id").to_numpy(), part.column("ink").to_numpy()
+            words = matrix(part.column("bits").combine_chunks()).view(np.uint64)
+            for batch in batches:
+                chars, ink, mine = batch.column(1).to_numpy(), batch.column(3).to_numpy(), matrix(batch.column(2)).view(np.uint64)
+                for c in np.unique(chars):
+                    some, low, high = np.flatnonzero(chars == c), np.searchsorted(p_char, c, side="left"), np.searchsorted(p_char, c, side="right")
+                    if low == high:
+                        continue
+                    first = np.flatnonzero(np.diff(p_state[low:high], prepend=-1))
+                    step = max(1, AT_ONCE // ((high - low) * words.shape[1]))
+                    for at in range(0, len(some), step):
+                        few = some[at : at + step]
+                        apart = sum(np.bitwise_count(mine[few, k, None] ^ words[None, low:high, k]).astype(np.int64) for k in range(words.shape[1]))
+                        least = np.minimum.reduceat(apart * (high - low) + np.arange(high - low), first, axis=1)
+                        near = np.logical_or.reduceat(np.abs(ink[few, None] - p_ink[None, low:high]) <= (np.floor(INK_SHARE * ink[few]) + INK_EXTRA)[:, None], first, axis=1)
+                        ids = batch.column(0).take(pa.array(np.repeat(few, len(first))))
+                        states = names.dictionary.take(pa.array(np.tile(p_state[low + first], len(few))))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), c), pa.int64()), states.cast(pa.string()), pa.array((least // (high - low)).ravel(), pa.int64()), pa.array(proto[low + least % (high - low)].ravel(), pa.int64()), pa.array(near.ravel())], names=["glyph_id", "char_id", "state", "distance", "proto_id", "near"])
+
+        one = asked.mapInArrow(run, f"glyph_id {kind}, char_id long, state string, distance long, proto_id long, near boolean")
+        each = one if each is None else each.unionByName(one)
+    each = each.withColumn("char_id", F.col("char_id").cast(char)).groupBy("glyph_id", "char_id", "state").agg(F.min(F.struct("distance", F.col("proto_id").cast(prototypes.schema["proto_id"].dataType).alias("proto_id"))).alias("b"), F.max("near").alias("near"))
     best = each.groupBy("glyph_id", "char_id").agg(F.min("b").alias("b"), F.max("near").alias("coarse_hit"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("state", (1 - F.col("b.distance") / float(size)).alias("score"))))).alias("states"))
     found = wanted.join(best, ["glyph_id", "char_id"], "left")
     distance = F.coalesce("b.distance", F.lit(size).cast("long"))

@@ -78,7 +78,7 @@ every AS (SELECT glyph_id, min(distance) AS d FROM dist GROUP BY 1)
 SELECT glyph_id, coalesce(n, 0) AS n_coarse, (coalesce(near.d, -1) = every.d) AS same_best FROM every LEFT JOIN near USING (glyph_id)""")
 def coarse_filter_equivalence(spark, sf_dir):
     glyphs, protos = glyph_bits(spark, sf_dir)
-    near = ds.coarse_pairs(glyphs, protos).groupBy("glyph_id").agg(F.count("*").alias("n"), F.min("distance").alias("near"))
+    near = ds.coarse_counts(glyphs, protos).join(ds.coarse_minimum(glyphs, protos).withColumnRenamed("distance", "near"), "glyph_id")
     every = ds.class_minimum(glyphs, protos).groupBy("glyph_id").agg(F.min("distance").alias("d"))
     return every.join(near, "glyph_id", "left").select("glyph_id", F.coalesce("n", F.lit(0)).alias("n_coarse"), (F.coalesce("near", F.lit(-1)) == F.col("d")).alias("same_best"))
 

@@ -104,3 +104,41 @@ def test_candidates_of_a_batch_together(spark):
         assert len(want) > 300 and any(x[4] > x[5] for x in want)
         assert sorted(map(str, found)) == sorted(map(str, want))
         assert {x.soft for x in lines.candidates_of_images(images, reading, strong=False).collect()} == {None}
+
+
+def test_distances_without_pairs(spark):
+    """The coarse filter and the evidence of characters in parts of prototypes give what all pairs give; no join makes pairs of glyphs and prototypes."""
+    import io
+    from contextlib import redirect_stdout
+
+    from glyphlake.operators import distance as ds
+
+    r = np.random.default_rng(8)
+    word = lambda: int(r.integers(0, 1 << 62)) & int(r.integers(0, 1 << 62))
+    glyphs = [(i, b, b.bit_count()) for i, b in enumerate(word() if i else 0 for i in range(40))]
+    protos = [(c, p, 12 + p % 3, p % 4, b, b.bit_count()) for c in range(5) for p in range(30) for b in [word()]]
+    g = spark.createDataFrame(glyphs, "glyph_id long, bits long, ink int")
+    p = spark.createDataFrame(protos, "char_id int, proto_id long, render_size int, mode int, bits long, ink int")
+    wanted = spark.createDataFrame([(i, c) for i in range(40) for c in (i % 5, 9)], "glyph_id long, char_id long")
+    near = lambda a, b: abs(a - b) <= int(0.2 * a) + 3
+    counts, least = {}, {}
+    for i, b, k in glyphs:
+        found = [(b ^ x[4]).bit_count() for x in protos if near(k, x[5])]
+        if found:
+            counts[i], least[i] = len(found), min(found)
+    assert 0 not in counts and len(counts) > 30
+    for rows in (1000, 40):
+        assert {x.glyph_id: x.n for x in ds.coarse_counts(g, p).collect()} == counts
+        assert {x.glyph_id: x.distance for x in ds.coarse_minimum(g, p, rows).collect()} == least
+        out = {(x.glyph_id, x.char_id): x for x in ds.char_evidence(wanted, g, p, 64, rows).collect()}
+        assert len(out) == 80
+        for (i, c), x in out.items():
+            own = [((glyphs[i][1] ^ q[4]).bit_count(), q[1], "clean" if q[3] == 2 else f"{q[2]}_{q[3]}", near(glyphs[i][2], q[5])) for q in protos if q[0] == c]
+            states = {}
+            for d, _, s, _ in own:
+                states[s] = max(states.get(s, -9), 1 - d / 64)
+            assert (x.distance, x.proto_id, x.coarse_hit, x.states or {}) == ((*min(own)[:2], any(q[3] for q in own), states) if own else (64, -1, False, {}))
+    text = io.StringIO()
+    with redirect_stdout(text):
+        ds.char_evidence(wanted, g, p, 64).explain()
+    assert "bitcount" not in text.getvalue().lower().replace("_", "")
