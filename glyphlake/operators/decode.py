@@ -50,7 +50,8 @@ def kbest_paths(candidates: list[tuple[int, int, float, str]], k: int, alpha: fl
     for i, c in enumerate(candidates):
         ending.setdefault(c[1], []).append(i)
     kept: dict[int, list[tuple[float, tuple[int, ...], str]]] = {0: [(0.0, (), "")]}
-    key = lambda p: (-p[0] / (len(p[1]) + beta) ** alpha, p[2], p[1])
+    norm = [1.0, *((n + beta) ** alpha for n in range(1, len(candidates) + 1))]  # of each number of candidates
+    key = lambda p: (-p[0] / norm[len(p[1])], p[2], p[1])
     for end in range(1, last + 1):
         found = {}
         for i in ending.get(end, ()):
@@ -68,14 +69,22 @@ def lines_of(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("line_id").agg(spans.alias("spans"))
 
 
+def spans_of(column: pa.Array) -> Iterator[tuple[list[int], list[int], list[float]]]:
+    """(starts, ends, scores) of each line. The batch becomes three plain lists at once, without an object for each candidate."""
+    offsets = column.offsets.to_pylist()
+    end, start, score = (column.values.field(c).to_pylist() for c in ("end", "start", "score"))
+    for a, b in zip(offsets, offsets[1:], strict=False):
+        yield start[a:b], end[a:b], score[a:b]
+
+
 def best_paths(candidates: DataFrame) -> DataFrame:
     """One row per line: spans of the best-mean path and its mean. ``candidates``: line_id, start, end, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
-            for spans in batch.column(1).to_pylist():
-                rows = [(x["start"], x["end"], x["score"]) for x in spans]
+            for spans in spans_of(batch.column(1)):
+                rows = list(zip(*spans, strict=True))
                 path, mean = mean_path(rows)
                 for column, value in zip(out, (",".join(f"{rows[i][0]}-{rows[i][1]}" for i in path), len(path), mean), strict=True):
                     column.append(value)
@@ -88,10 +97,11 @@ def kbest(candidates: DataFrame, k: int = 3, alpha: float = 1.0, beta: float = 0
     """k rows per line: rank, spans, score and normalised score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[tuple[int, int], str] = {}
         for batch in batches:
             rows = []
-            for line, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = kbest_paths([(x["start"], x["end"], x["score"], f"{x['start']}-{x['end']};") for x in spans], k, alpha, beta)
+            for line, spans in zip(batch.column(0).to_pylist(), spans_of(batch.column(1)), strict=True):
+                found = kbest_paths([(a, b, score, names.setdefault((a, b), f"{a}-{b};")) for a, b, score in zip(*spans, strict=True)], k, alpha, beta)
                 rows += [(line, i, text, total, total / (len(path) + beta) ** alpha) for i, (total, path, text) in enumerate(found, 1)]
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["line_id", "rank", "path", "score", "norm"])
