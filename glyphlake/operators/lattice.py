@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .segmentation import ahead, ranges_of
 
 
 def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -48,19 +49,20 @@ def ordered_atoms(df: DataFrame, line: str, order: list[str]) -> DataFrame:
     return df.withColumn("atom_idx", F.row_number().over(Window.partitionBy(line).orderBy(*order)) - 1)
 
 
-def candidate_ranges(atoms: DataFrame, longest: int) -> DataFrame:
-    """All ranges of up to ``longest`` neighbouring atoms with their bounding boxes.
+def candidate_ranges(atoms: DataFrame, longest: int, first: list[str] = []) -> DataFrame:  # noqa: B006
+    """All ranges of up to ``longest`` neighbouring atoms with their bounding boxes, and the columns ``first`` of the atom each begins with.
 
-    A frame of the next atoms is gathered in a window: one shuffle on the line, no self-join.
+    The next atoms are offsets in a window: one shuffle on the line, no self-join.
     """
-    w = Window.partitionBy("line_id").orderBy("atom_idx")
-    box = F.struct("x", "w", "h")
-    own = atoms.select("line_id", "atom_idx", F.collect_list(box).over(w.rowsBetween(0, longest - 1)).alias("ahead"))
-    own = own.select("line_id", F.col("atom_idx").alias("start"), "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n"))
-    part = F.slice("ahead", 1, F.col("n"))
-    right = F.array_max(F.transform(part, lambda b: b["x"] + b["w"]))
-    left = F.array_min(F.transform(part, lambda b: b["x"]))
-    return own.select("line_id", "start", (F.col("start") + F.col("n")).alias("end"), left.alias("x"), (right - left).alias("w"), F.array_max(F.transform(part, lambda b: b["h"])).alias("h"))
+    at = lambda k, f: F.col(f"_{k}_{f}")
+    own = ahead(atoms.select("line_id", "atom_idx", "x", "w", "h", *first), ["x", "w", "h"], longest)
+
+    def one(n: int) -> Column:
+        ends = [F.greatest(*c) if n > 1 else c[0] for c in ([at(k, "x") + at(k, "w") for k in range(n)], [at(k, "h") for k in range(n)])]
+        left = F.least(*(at(k, "x") for k in range(n))) if n > 1 else at(0, "x")
+        return F.struct(F.col("atom_idx").alias("start"), (F.col("atom_idx") + n).alias("end"), left.alias("x"), (ends[0] - left).alias("w"), ends[1].alias("h"))
+
+    return ranges_of(own, longest, one, ["line_id", *first])
 
 
 def coverage(segments: DataFrame, boxes: DataFrame, bucket: float, threshold: float = 0.9) -> DataFrame:

@@ -5,6 +5,7 @@ Atoms are (line_id, atom_idx, x, y, w, h, ink). Lines are bounded by their scree
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,24 +41,48 @@ class Envelope:
 NARROW_BELOW = 0.8
 
 
+def ahead(atoms: DataFrame, fields: list[str], longest: int) -> DataFrame:
+    """Each atom with the fields of the next ones in columns ``_<k>_<field>`` and ``_left``, how many atoms its line has from there on, ``longest`` at most.
+
+    Plain offsets over one sort by line: no arrays are gathered, and all that follows is compiled.
+    """
+    w = Window.partitionBy("line_id").orderBy("atom_idx")
+    later = {f"_{k}_{f}": F.lead(f, k).over(w) for k in range(1, longest) for f in fields}
+    left = sum((F.lead(F.lit(1), k, 0).over(w) for k in range(1, longest)), F.lit(1))
+    return atoms.withColumns(later | {"_left": left}).withColumnsRenamed({f: f"_0_{f}" for f in fields})
+
+
+def ranges_of(own: DataFrame, longest: int, one: Callable[[int], Column], keep: list[str]) -> DataFrame:
+    """A row for each range of up to ``longest`` atoms: the columns ``keep`` and the fields of the struct ``one(n)``."""
+    each = F.filter(F.array(*(F.when(F.col("_left") >= n, one(n)) for n in range(1, longest + 1))), lambda r: r.isNotNull())
+    return own.select(*keep, F.inline(each))
+
+
 def candidate_parts(atoms: DataFrame, longest: int) -> DataFrame:
     """Ranges of up to ``longest`` atoms with box, ink, widest gap inside and whether two neighbours are near each other in height."""
-    ahead = Window.partitionBy("line_id").orderBy("atom_idx").rowsBetween(0, longest - 1)
-    own = atoms.select("line_id", "atom_idx", F.collect_list(F.struct("x", "y", "w", "h", "ink")).over(ahead).alias("ahead"))
-    own = own.select("line_id", F.col("atom_idx").alias("start"), F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n"), "ahead")
-    part = F.slice("ahead", 1, F.col("n"))
-    low = lambda f: F.array_min(F.transform(part, f))
-    high = lambda f: F.array_max(F.transform(part, f))
-    pairs = F.arrays_zip(F.slice(part, 1, F.greatest(F.size(part) - 1, F.lit(0))).alias("a"), F.slice(part, F.lit(2), F.greatest(F.size(part) - 1, F.lit(0))).alias("b"))
-    gap_x = lambda p: p["b"]["x"] - p["a"]["x"] - p["a"]["w"]
-    gap_y = lambda p: F.greatest(p["a"]["y"], p["b"]["y"]) - F.least(p["a"]["y"] + p["a"]["h"], p["b"]["y"] + p["b"]["h"])
-    out = own.select(
-        "line_id", "start", (F.col("start") + F.col("n")).alias("end"), "n", low(lambda b: b["x"]).alias("x"), low(lambda b: b["y"]).alias("y"),
-        high(lambda b: b["x"] + b["w"]).alias("x1"), high(lambda b: b["y"] + b["h"]).alias("y1"),
-        F.aggregate(part, F.lit(0).cast("long"), lambda s, b: s + b["ink"].cast("long")).alias("ink"),
-        F.array_max(F.transform(pairs, gap_x)).alias("gap"), F.array_min(F.transform(pairs, gap_y)).alias("gap_y"),
-    )
-    return out.withColumns({"w": F.col("x1") - F.col("x"), "h": F.col("y1") - F.col("y")}).drop("x1", "y1")
+    at = lambda k, f: F.col(f"_{k}_{f}")
+    own = ahead(atoms.select("line_id", F.col("atom_idx"), "x", "y", "w", "h", F.col("ink").cast("long").alias("ink")), ["x", "y", "w", "h", "ink"], longest)
+    low = lambda values: F.least(*values) if len(values) > 1 else values[0]
+    high = lambda values: F.greatest(*values) if len(values) > 1 else values[0]
+    gap_x = lambda k: at(k + 1, "x") - at(k, "x") - at(k, "w")
+    gap_y = lambda k: F.greatest(at(k, "y"), at(k + 1, "y")) - F.least(at(k, "y") + at(k, "h"), at(k + 1, "y") + at(k + 1, "h"))
+
+    def one(n: int) -> Column:
+        x, y, every, pairs = low([at(k, "x") for k in range(n)]), low([at(k, "y") for k in range(n)]), range(n), range(n - 1)
+        gap, near = (high([gap_x(k) for k in pairs]), low([gap_y(k) for k in pairs])) if n > 1 else (F.when(F.lit(False), at(0, "x")), F.when(F.lit(False), at(0, "y")))
+        return F.struct(
+            F.col("atom_idx").alias("start"), (F.col("atom_idx") + n).alias("end"), F.lit(n).alias("n"), x.alias("x"), y.alias("y"), sum((at(k, "ink") for k in every), F.lit(0).cast("long")).alias("ink"), gap.alias("gap"), near.alias("gap_y"),
+            (high([at(k, "x") + at(k, "w") for k in every]) - x).alias("w"), (high([at(k, "y") + at(k, "h") for k in every]) - y).alias("h"),
+        )
+
+    return ranges_of(own, longest, one, ["line_id"])
+
+
+def middle(values: Column) -> Column:
+    """Median of a short array."""
+    s, n = F.array_sort(values), F.size(values)
+    at = lambda i: F.get(s, i.cast("int"))
+    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
 
 
 def envelope_ok(w: Column, h: Column, e: Envelope, most: Column) -> Column:
@@ -82,14 +107,20 @@ def passes_filters(expected_width: Column, bounds: Bounds = Bounds(), envelope:
     return F.when(F.col("n") == 1, one).otherwise(many & near & inked)
 
 
+def usual_width(heights: Column, bounds: Bounds = Bounds()) -> Column:
+    """0.8 of the median of the tall ones among a line's heights, within the bounds; null without any."""
+    tall = F.filter(heights, lambda h: h >= F.greatest(F.lit(2), 0.6 * F.array_max(heights)))
+    return F.when(F.size(tall) > 0, F.greatest(F.lit(float(bounds.width_least)), F.least(F.lit(float(bounds.width_most)), middle(tall).cast("double") * 0.8)))
+
+
 def expected_width(atoms: DataFrame, bounds: Bounds = Bounds(), envelope: Envelope | None = None) -> DataFrame:
     """(line_id, expected_width): median width of a line's tall components by their class, else 0.8 of their median height."""
+    if envelope is None:
+        return atoms.groupBy("line_id").agg(F.collect_list("h").alias("_heights")).select("line_id", usual_width(F.col("_heights"), bounds).alias("expected_width")).where("expected_width IS NOT NULL")
     own = atoms.withColumn("_most", F.max("h").over(Window.partitionBy("line_id")))
     own = own.where(F.col("h") >= F.greatest(F.lit(2), 0.6 * F.col("_most")))
-    heights = own.groupBy("line_id").agg(F.median("h").alias("m"), F.max("_most").alias("most"))
+    heights = own.groupBy("line_id").agg(F.max("_most").alias("most"))
     limit = lambda x: F.greatest(F.lit(float(bounds.width_least)), F.least(F.lit(float(bounds.width_most)), x))
-    if envelope is None:
-        return heights.select("line_id", limit(F.col("m") * 0.8).alias("expected_width"))
     aspect = F.col("w") / F.greatest(F.col("h"), F.lit(1))
     width = F.when(aspect < NARROW_BELOW, F.greatest(F.col("h") / envelope.narrow_height, F.lit(1.0)) * envelope.narrow_width).otherwise(F.greatest(F.col("h") / envelope.full_height, F.lit(1.0)) * envelope.full_width)
     found = own.where(aspect <= 1.1).groupBy("line_id").agg(F.median(width).alias("width"))
@@ -98,9 +129,11 @@ def expected_width(atoms: DataFrame, bounds: Bounds = Bounds(), envelope: Envelo
 
 def candidate_geometry(candidates: DataFrame, atoms: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """Add ``geometry``, the penalty that doesn't depend on the character, and its part for width."""
-    middle = atoms.groupBy("line_id").agg(F.median(F.col("y") + F.col("h") / 2).alias("_center"), F.median("h").alias("_height"))
-    typical = atoms.join(middle, "line_id").where(F.col("h") >= F.greatest(F.lit(2), 0.5 * F.col("_height"))).groupBy("line_id").agg(F.median("w").alias("_width"))
-    own = candidates.join(middle.join(typical, "line_id", "left"), "line_id")
+    line = atoms.groupBy("line_id").agg(F.collect_list(F.struct("y", "h", "w")).alias("_all"))
+    of = lambda f: middle(F.filter(F.transform("_all", f), lambda v: v.isNotNull())).cast("double")
+    line = line.select("line_id", "_all", of(lambda a: a["y"] + a["h"] / 2).alias("_center"), of(lambda a: a["h"]).alias("_height"))
+    tall = F.filter("_all", lambda a: (a["h"] >= F.greatest(F.lit(2), 0.5 * F.col("_height"))) & a["w"].isNotNull())
+    own = candidates.join(line.select("line_id", "_center", "_height", middle(F.transform(tall, lambda a: a["w"])).cast("double").alias("_width")), "line_id")
     offset = F.abs(F.col("y") + F.col("h") / 2 - F.col("_center"))
     aligned = F.when(offset > max(1.0, bounds.height_least * 0.15), -F.least(F.lit(0.04), offset * 0.004)).otherwise(0.0)
     excess = F.greatest(F.lit(0), F.col("gap") - max(1, bounds.spacing))

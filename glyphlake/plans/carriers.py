@@ -126,9 +126,7 @@ cands AS (
 def scored_candidates(spark: SparkSession, sf_dir: str, longest: int = 3) -> DataFrame:
     from ..operators.lattice import candidate_ranges
 
-    own = atoms(spark, sf_dir)
-    first = own.select("line_id", F.col("atom_idx").alias("start"), "l_partkey")
-    cand = candidate_ranges(own, longest).join(first, ["line_id", "start"])
+    cand = candidate_ranges(atoms(spark, sf_dir), longest, ["l_partkey"])
     score = F.round(0.5 + 0.5 * ((F.col("l_partkey") * 7 + F.col("end") - F.col("start")) % 97) / 97, 9)
     return cand.withColumn("score", score).drop("l_partkey")
 

@@ -142,3 +142,29 @@ def test_distances_without_pairs(spark):
     with redirect_stdout(text):
         ds.char_evidence(wanted, g, p, 64).explain()
     assert "bitcount" not in text.getvalue().lower().replace("_", "")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_need_one_shuffle(spark, sf_dir):
+    """Ranges with the fields of their first atom come from one sort by line; parts of a range move their line once."""
+    from glyphlake.operators import merges
+    from glyphlake.operators import segmentation as sg
+    from glyphlake.plans import catalogue, segmentation_queries  # noqa: F401
+    from glyphlake.plans.carriers import scored_candidates
+
+    plan = plan_of(scored_candidates(spark, sf_dir))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    own = segmentation_queries.atoms(spark, sf_dir)
+    plan = plan_of(merges.one_cluster(sg.candidate_parts(own, 3), own))
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("Join") == 1
+
+
+def test_spans_without_objects():
+    from glyphlake.operators import decode
+
+    kind = pa.list_(pa.struct([("end", pa.int32()), ("start", pa.int32()), ("score", pa.float64())]))
+    rows = [[], [{"end": 1, "start": 0, "score": 0.5}, {"end": 2, "start": 1, "score": 0.25}], [{"end": 1, "start": 0, "score": 1.0}]]
+    assert list(decode.spans_of(pa.array(rows, kind))) == [([], [], []), ([0, 1], [1, 2], [0.5, 0.25]), ([0], [1], [1.0])]
