@@ -168,3 +168,21 @@ def test_spans_without_objects():
     kind = pa.list_(pa.struct([("end", pa.int32()), ("start", pa.int32()), ("score", pa.float64())]))
     rows = [[], [{"end": 1, "start": 0, "score": 0.5}, {"end": 2, "start": 1, "score": 0.25}], [{"end": 1, "start": 0, "score": 1.0}]]
     assert list(decode.spans_of(pa.array(rows, kind))) == [([], [], []), ([0, 1], [1, 2], [0.5, 0.25]), ([0], [1], [1.0])]
+
+
+def test_pieces_at_valleys_are_slices(monkeypatch):
+    """Cuts at valleys give the ink between them, without a mask of the whole for each piece."""
+    from glyphlake.operators import merges
+
+    mask = np.zeros((10, 40), bool)
+    for x in (0, 9, 20, 31):
+        mask[x // 9 :, x : x + 7] = True
+    cuts = merges.valley_cuts(mask, 8.0, merges.Bounds(), 3)
+    want = []
+    for own in merges.slices(mask, [np.full(10, x) for x in cuts]):
+        rows, columns = np.flatnonzero(own.any(1)), np.flatnonzero(own.any(0))
+        want.append((int(columns[0]), int(rows[0]), own[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1]))
+    monkeypatch.delattr(merges, "slices")
+    found = merges.pieces(mask, 8.0, 3)
+    assert cuts and len(found) == len(want) > 1
+    assert all(a[:2] == b[:2] and np.array_equal(a[2], b[2]) for a, b in zip(found, want, strict=True))
