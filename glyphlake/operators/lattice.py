@@ -9,6 +9,10 @@ from ..session import written
 from .segmentation import ahead, ranges_of
 
 
+#: Bytes of edges, as Spark estimates them, for each partition of a shuffle; and partitions at most, each of which is a file of a shuffle's map task.
+PART_BYTES, MOST_PARTS = 1_000_000, 4096
+
+
 def runs(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Runs of equal neighbours: (key, run, value, length)."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -28,8 +32,21 @@ def line_groups(df: DataFrame, key: str, position: str, gap: float, least: float
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, component) by smallest reachable node. Labels jump through their own labels, so a chain takes log rounds; raises if the rounds don't suffice.
 
-    Each round is a written table, which keeps plans short and survives lost executors.
+    Each round is a written table, which keeps plans short and survives lost executors. Shuffles get a partition for every PART_BYTES of the
+    edges' files at least, so what a task sorts does not grow with the table.
     """
+    spark = edges.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    size = int(str(edges._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(int(before), min(MOST_PARTS, size // PART_BYTES))))
+    try:
+        return settled(edges, rounds)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def settled(edges: DataFrame, rounds: int) -> DataFrame:
+    """The rounds of ``connected_components``."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = written(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = written(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")), "labels")

@@ -186,3 +186,16 @@ def test_pieces_at_valleys_are_slices(monkeypatch):
     found = merges.pieces(mask, 8.0, 3)
     assert cuts and len(found) == len(want) > 1
     assert all(a[:2] == b[:2] and np.array_equal(a[2], b[2]) for a, b in zip(found, want, strict=True))
+
+
+def test_components_get_partitions_by_size(spark, monkeypatch):
+    """Shuffles of larger edges have more partitions; the session's own setting comes back."""
+    from glyphlake.operators import lattice
+
+    seen, written = [], lattice.written
+    monkeypatch.setattr(lattice, "written", lambda df, name: (seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), written(df, name))[1])
+    monkeypatch.setattr(lattice, "PART_BYTES", 100, raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert {tuple(x) for x in lattice.connected_components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+    assert set(seen) != {int(before)} and min(seen) > int(before) and spark.conf.get("spark.sql.shuffle.partitions") == before
